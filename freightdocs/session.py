@@ -17,6 +17,7 @@ def local_session(app: str = "freightdocs", cpus: str | int = "*", partitions: i
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )

@@ -14,17 +14,21 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return checked_requests(spark.read.text(path))
 
 
-def checked_requests(lines: DataFrame) -> DataFrame:
+def checked_columns() -> list[Column]:
     """SRC-5: ``content`` and ``roomId`` must be there, non-empty, and nothing else."""
     keys = F.json_object_keys("value")
     content, room = F.get_json_object("value", "$.content"), F.get_json_object("value", "$.roomId")
     stripped = t.strip(content)
     bad = (keys.isNull() | (F.coalesce(content, F.lit("")) == "") | (F.coalesce(room, F.lit("")) == "")
            | (F.size(F.array_except(keys, F.array(F.lit("content"), F.lit("roomId")))) > 0))
-    return lines.select(
-        stripped.alias("content"), room.alias("roomId"),
-        F.when(F.coalesce(bad, F.lit(True)), "invalid_request")
-        .when(F.octet_length(stripped) > D.MAX_UPLOAD_BYTES, "text_too_large").alias("error_code"))
+    return [stripped.alias("content"), room.alias("roomId"),
+            F.when(F.coalesce(bad, F.lit(True)), "invalid_request")
+            .when(F.octet_length(stripped) > D.MAX_UPLOAD_BYTES, "text_too_large").alias("error_code")]
+
+
+def checked_requests(lines: DataFrame) -> DataFrame:
+    """Request lines ``value`` to requests; every other column stays."""
+    return lines.select(*[c for c in lines.columns if c != "value"], *checked_columns())
 
 
 def envelope(data: Column, room_id: Column, app_id: str = "", user_id: str = "", open_id: str = "",
