@@ -250,7 +250,7 @@ FP_JSON = '[["主单号","船名","航次"],["起运港","目的港","码头"],[
 def transport_notes(spark, sf):
     """Notes in the transport layout: five label rows, each with its value row."""
     text = (
-        "'# 运输委托单\\n_p1_ 某某物流有限公司\\n| TO | ' || recipient || ' | 订单编号： | REF' || k || ' |\\n| 日期：20 | ' || "
+        "'# 运输委托单\\n_p1_ 某某物流有限公司\\n| TO | ' || recipient || ' | 订单编号： | REF' || k || ' |\\n| 日期：' || substr(cast(year(odate) AS string), 1, 2) || ' | ' || "
         "(CASE WHEN k % 5 = 0 THEN 'xx' ELSE substr(cast(year(odate) AS string), 3, 2) || '.' || month(odate) || '.' || day(odate) END) || ' |\\n'"
         " || '| _row/col_ | A | B | C |\\n| --- | --- | --- | --- |\\n| 1 | 主单号 | 船名 | 航次： |\\n| 2 | ' || coalesce(bill, '未定') || ' | ' || vessel || ' | ' || voyage || ' |\\n'"
         " || '| 3 | 起运港 | 目的港 | 码头 |\\n| 4 | SHANGHAI | ' || region || ' |  |\\n| 5 | 箱型箱量 | ETD | 中转港代码 |\\n| 6 | 2*40HQ | ' || iso_date || ' |  |\\n'"
@@ -259,7 +259,7 @@ def transport_notes(spark, sf):
     return keyed(spark, sf, text=text)
 
 
-T20 = "year(odate) >= 2000 AND k % 5 <> 0"
+MAPPED = "k % 7 <> 3 AND k % 5 <> 0 AND bill IS NOT NULL"
 
 
 @register("rte_4_fingerprint", with_facts(f"""
@@ -301,16 +301,12 @@ def _(spark, sf):
 
 
 @register("rte_8_transport_layout", with_facts(f"""
-SELECT k AS doc_id, CASE WHEN bill IS NOT NULL AND {T20} AND k % 11 <> 0 OR bill IS NOT NULL AND {T20} THEN 'bingsheng_transport' END AS template,
-  CASE WHEN bill IS NOT NULL AND {T20} THEN bill END AS mbl_no, CASE WHEN bill IS NOT NULL AND {T20} THEN iso_date END AS doc_date,
-  CASE WHEN bill IS NOT NULL AND {T20} THEN nation END AS contact, CASE WHEN bill IS NOT NULL AND {T20} THEN CAST(2 AS BIGINT) END AS qty,
-  CASE WHEN bill IS NOT NULL AND {T20} THEN '某某物流有限公司' END AS shipper,
-  CASE WHEN k % 5 = 0 OR bill IS NULL THEN concat_ws('|', CASE WHEN bill IS NULL THEN 'invalid_mbl_no' END, CASE WHEN k % 5 = 0 THEN 'invalid_doc_date' END) ELSE '' END AS errors
-FROM f WHERE k % 7 <> 3 AND (year(odate) >= 2000 OR k % 5 = 0)"""))
-def _(spark, sf):
-    df = mapping.with_template(transport_notes(spark, sf)).join(facts(spark, sf).select(
-        F.col("k").alias("doc_id"), (F.year("odate") >= 2000).alias("recent")), "doc_id")
-    df = df.filter((F.col("doc_id") % 7 != 3) & (F.col("recent") | (F.col("doc_id") % 5 == 0)))
+SELECT k AS doc_id, CASE WHEN {MAPPED} THEN 'bingsheng_transport' END AS template, CASE WHEN {MAPPED} THEN bill END AS mbl_no,
+  CASE WHEN {MAPPED} THEN iso_date END AS doc_date, CASE WHEN {MAPPED} THEN nation END AS contact, CASE WHEN {MAPPED} THEN CAST(2 AS BIGINT) END AS qty,
+  CASE WHEN {MAPPED} THEN '某某物流有限公司' END AS shipper,
+  CASE WHEN k % 7 = 3 THEN '' ELSE concat_ws('|', CASE WHEN bill IS NULL THEN 'invalid_mbl_no' END, CASE WHEN k % 5 = 0 THEN 'invalid_doc_date' END) END AS errors FROM f"""))
+def _(spark, sf):
+    df = mapping.with_template(transport_notes(spark, sf))
     tr = F.col("transport")
     return df.select("doc_id", F.col("mapped_template").alias("template"), tr["mbl_no"].alias("mbl_no"), tr["doc_date"].alias("doc_date"),
                      tr["contact"].alias("contact"), tr["container"]["qty"].alias("qty"), tr["shipper_company"].alias("shipper"),

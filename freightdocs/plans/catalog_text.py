@@ -176,10 +176,10 @@ def _(spark, sf):
     return lab.with_cells(df).select("doc_id", lab.separated_values(("提单号", "主单号")).alias("bill"))
 
 
-@register("lab_6_split_dates", with_facts("SELECT k AS doc_id, iso_date AS doc_date FROM f WHERE year(odate) >= 2000"))
+@register("lab_6_split_dates", with_facts("SELECT k AS doc_id, iso_date AS doc_date FROM f"))
 def _(spark, sf):
-    df = keyed(spark, sf, y="year(odate)", text="'| 日期：20 | **' || substr(cast(year(odate) AS string), 3, 2) || '.' || month(odate) || '/' || day(odate) || '** |'")
-    return df.filter("y >= 2000").select("doc_id", lab.fragmented_dates(F.col("text")).alias("doc_date"))
+    df = keyed(spark, sf, text="'| 日期：' || substr(cast(year(odate) AS string), 1, 2) || ' | **' || substr(cast(year(odate) AS string), 3, 2) || '.' || month(odate) || '/' || day(odate) || '** |'")
+    return df.select("doc_id", lab.fragmented_dates(F.col("text")).alias("doc_date"))
 
 
 @register("lab_7_recipient_extras", with_facts("SELECT k AS doc_id, nation || '|' || region AS extras FROM f"))
