@@ -6,6 +6,8 @@ one expression per row: a document is scanned once and nothing is shuffled.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,10 +61,8 @@ def doc_type_of(key: Column) -> Column:
 
 
 def lookup(c: Column, table: dict[str, str]) -> Column:
-    out = None
-    for key, value in table.items():
-        out = F.when(c == key, value) if out is None else out.when(c == key, value)
-    return out
+    """Value of a constant dictionary; null for an unknown key (the map is folded to a literal)."""
+    return F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string,string>"), c)
 
 
 def with_route(df: DataFrame, text: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from freightdocs import dictionaries as D
 from freightdocs.functions import values as v
+from freightdocs.functions.plan import explode_rows
 
 from freightdocs.operators import issues as iss
 from freightdocs.operators import mapping, normalize, routing
@@ -276,7 +277,7 @@ def _(spark, sf):
     df = transport_notes(spark, sf).withColumn("pairs", mapping.paired_values(seg.table_rows(F.col("text"))))
     wanted = ("主单号", "航次", "目的港", "体积", "时间", "码头")
     rows = F.array(*[F.struct(F.lit(x).alias("label"), mapping.paired(F.col("pairs"), x).alias("value")) for x in wanted])
-    return df.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*").filter("value IS NOT NULL")
+    return explode_rows(df, rows, "_pos", "r").select("doc_id", "r.*").filter("value IS NOT NULL")
 
 
 def booking_notes(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freightdocs.functions import text as t
+from freightdocs.functions.plan import explode_rows
 from freightdocs.operators import labels as lab
 from freightdocs.operators import segments as seg
 from freightdocs.plans.catalog import keyed, note_sql, register, with_facts
@@ -59,7 +60,7 @@ def _(spark, sf):
 SELECT k AS doc_id, CAST(0 AS BIGINT) AS tbl, count(*) + CASE WHEN k % 3 = 1 THEN 2 ELSE 0 END AS n_rows
 FROM nf WHERE k % 3 > 0 GROUP BY k"""))
 def _(spark, sf):
-    return corpus.notes(spark, sf).select("doc_id", F.posexplode(seg.table_groups(F.col("text"))).alias("tbl", "rows")).select(
+    return explode_rows(corpus.notes(spark, sf), seg.table_groups(F.col("text")), "tbl", "rows").select(
         "doc_id", "tbl", F.size("rows").alias("n_rows"))
 
 
@@ -76,7 +77,7 @@ FROM ({PAIR_ROWS}) u WHERE value IS NOT NULL"""))
 def _(spark, sf):
     texts = corpus.order_texts(spark, sf)
     repeated = F.when(F.col("doc_id") % 4 == 0, F.concat("content", F.lit("目的港：OVER"))).otherwise(F.col("content"))
-    return texts.select("doc_id", F.posexplode(seg.label_values(repeated)).alias("pos", "e")).select(
+    return explode_rows(texts, seg.label_values(repeated), "pos", "e").select(
         "doc_id", "pos", "e.label", "e.value")
 
 
@@ -143,7 +144,7 @@ WHERE label IN ('提单号', 'FM', '日期', '托运人', '做箱时间', 'TO')"
 def _(spark, sf):
     df = lab.with_cells(corpus.notes(spark, sf))
     found = F.flatten(F.array(*[F.transform(lab.explicit_values(labels), _tag(name)) for name, labels in LAB2]))
-    return df.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
+    return explode_rows(df, found, "_pos", "x").select("doc_id", "x.*")
 
 
 def _tag(name):

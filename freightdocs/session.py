@@ -25,18 +25,6 @@ def local_session(app: str = "freightdocs", cpus: str | int = "*", partitions: i
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a scratch one only where none is set (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="freightdocs-checkpoint-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
-
-
 def working_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables and stream state, below the shared folder if there is one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,5 +35,16 @@ def working_dir(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"freightdocs-{name}-")
 
 
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame once to the shared folder and go on from the written table.
+
+    Unlike ``checkpoint()`` this computes the frame once, keeps it columnar, and what
+    follows survives the loss of the executors that made it.
+    """
+    path = working_dir(df.sparkSession, name)
+    df.write.parquet(f"{path}/table")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/table")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
