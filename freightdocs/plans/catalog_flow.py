@@ -187,7 +187,7 @@ WITH {LOG_SQL}, hit AS (SELECT * FROM log WHERE status >= 404) SELECT seq, (SELE
 ORDER BY seq DESC LIMIT 100 OFFSET 50""")
 def _(spark, sf):
     items, total = audit.page(corpus.request_log(spark, sf).filter("status >= 404"), limit=100, offset=50)
-    return items.select("seq").join(F.broadcast(total))
+    return items.select("seq").withColumn("total", total.scalar())
 
 
 @register("log_3_last_window", f"WITH {LOG_SQL} SELECT seq, path FROM log ORDER BY seq DESC LIMIT 5000")
@@ -256,8 +256,8 @@ WITH {LOG_SQL} SELECT seq, ts FROM log WHERE ts >= (SELECT max(ts) FROM log) - I
 def _(spark, sf):
     entries = corpus.request_log(spark, sf)
     # "now" is the newest entry, so that old test data keeps something
-    now = entries.agg(F.max("ts").alias("_now"))
-    return logs.retained(entries.join(F.broadcast(now)), F.col("_now"), 24).select("seq", "ts")
+    now = entries.agg(F.max("ts")).scalar()
+    return logs.retained(entries, now, 24).select("seq", "ts")
 
 
 @register("snk_3_order_payloads", with_facts(f"""

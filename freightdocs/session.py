@@ -27,7 +27,7 @@ def local_session(app: str = "freightdocs", cpus: str | int = "*", partitions: i
 
 def working_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables and stream state, below the shared folder if there is one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         import uuid
 

@@ -49,10 +49,9 @@ def retained(df: DataFrame, now: Column, keep_hours: int) -> DataFrame:
 def export_all(df: DataFrame) -> DataFrame:
     """SNK-4: rows of the current search with the export time and their total.
 
-    The total is joined as one row, the items stay distributed rows.
+    The total is a scalar subquery, the items stay distributed rows.
     """
-    total = df.agg(F.count("*").alias("total")).withColumn("exported_at", F.current_timestamp())
-    return df.join(F.broadcast(total))
+    return df.withColumns({"total": df.agg(F.count("*")).scalar(), "exported_at": F.current_timestamp()})
 
 
 def export_one(df: DataFrame, request_id: str) -> DataFrame:
