@@ -11,7 +11,7 @@ from freightdocs.llm.registry import CHECKS, QUERIES, register
 NEAR_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT doc_id, CASE WHEN text_words IS NULL OR len(text_words) = 0 THEN []
     WHEN len(text_words) < 3 THEN [text_words]
     ELSE list_distinct([text_words[i:i + 2] FOR i IN range(1, len(text_words) - 1)]) END AS shingles
