@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from freightdocs.llm import minhash
-from freightdocs.llm.common import read_table
+from freightdocs.llm import line_chunks, minhash, packing, quality_rules, secrets
+from freightdocs.llm.common import read_table, tokenizer_path
 from freightdocs.llm.registry import CHECKS, QUERIES, register
 
 NEAR_SQL = r"""
@@ -27,9 +28,34 @@ FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_i
 """
 
 
+@register("op1_best_fit_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@register("op3_line_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_chunks.deduplicated(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_lines", "cut_lines", "cut_chunks")
+
+
 @register("op4_minhash_near_dedup", NEAR_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, num=85, den=100)
 
 
+@register("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = [secrets.counted(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *kinds, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+                        secrets.listed(F.col("spans")).alias("spans"))
+
+
+@register("op9_quality_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality_rules.trusted_rows(read_table(spark, sf_dir, "labels"))
+    return quality_rules.score_documents(read_table(spark, sf_dir, "documents"), trusted)
+
+
 __all__ = ["CHECKS", "QUERIES"]
