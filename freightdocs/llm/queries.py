@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightdocs.llm import line_chunks, minhash, packing, quality_rules, secrets
+from freightdocs.llm import licenses, line_chunks, minhash, packing, quality_rules, secrets, vectors
 from freightdocs.llm.common import read_table, tokenizer_path
 from freightdocs.llm.registry import CHECKS, QUERIES, register
 
@@ -28,6 +28,25 @@ FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_i
 """
 
 
+VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+part AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN part USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
+@register("op2_embedding_near_dedup", VECTOR_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read_table(spark, sf_dir, "embeddings"), 0.9)
+
+
 @register("op1_best_fit_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -58,4 +77,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(read_table(spark, sf_dir, "documents"), trusted)
 
 
+@register("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(read_table(spark, sf_dir, "documents")))
+
+
 __all__ = ["CHECKS", "QUERIES"]
