@@ -48,7 +48,7 @@ TEMPLATES = (
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "commons attribution 4 0"),
 )
 #: Words of each template in the index, how many of them an offset needs (or all, if fewer), and the share of equal places.
-RARE, VOTES, SHARE = 5, 3, 0.75
+RARE, VOTES, SHARE = 5, 3, 0.6
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
