@@ -53,7 +53,8 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Log ratio for each bucket; ``trusted(doc_id)`` names the texts of the target. Zero where there are none."""
     small_batches(docs.sparkSession)
-    good = narrow(docs, "doc_id", "text").join(narrow(trusted, "doc_id").distinct(), "doc_id", "left_semi")
+    # the trusted ids grow with the input, so they are not broadcast at any size
+    good = narrow(docs, "doc_id", "text").join(narrow(trusted, "doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     target, raw = bucket_counts(good), bucket_counts(docs)
     if not target.sum():
         return np.zeros(BUCKETS)
