@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightdocs.llm import classifier, licenses, line_chunks, minhash, packing, quality_rules, secrets, vectors
+from freightdocs.llm import classifier, licenses, line_chunks, minhash, packing, passages, quality_rules, secrets, vectors
 from freightdocs.llm.common import read_table, tokenizer_path
 from freightdocs.llm.registry import CHECKS, QUERIES, register
 
@@ -63,6 +63,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, num=85, den=100)
 
 
+@register("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(read_table(spark, sf_dir, "documents"))
+
+
 @register("op7_quality_classifier")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
