@@ -10,7 +10,9 @@ their length from counts per written partition, so no task sees all pieces of on
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,6 +27,8 @@ from freightdocs.llm.common import narrow, small_batches, written
 
 CAPACITY = 4096
 END_ID = 1
+#: Distinct words in one generation of a task's cache.
+CACHE = 400_000
 
 
 class Plan:
@@ -95,33 +99,41 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     """Tokenize and cut: one row per piece with its length, CRC and rank among the pieces of its length in this partition.
 
     A document is its ids and then ``END_ID``; only longer ones are cut. White space never joins two tokens of this
-    tokenizer, so each distinct word is encoded once for as long as it stays in a bounded cache.
+    tokenizer, so each distinct word is encoded once for as long as it stays in a bounded cache of two generations.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(tokenizer)
-        known: dict[str, np.ndarray] = {}
+        young: dict[str, bytes] = {}
+        old: dict[str, bytes] = {}
         rank: dict[int, int] = defaultdict(int)
-        part = TaskContext.get().partitionId()
+        part, end = TaskContext.get().partitionId(), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows = []
             split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in b["text"]]
-            new = list({w for words in split for w in words if w not in known})
-            if len(known) + len(new) > 300_000:
-                known.clear()
-                new = list({w for words in split for w in words})
-            for i in range(0, len(new), 20_000):
-                part_of = new[i : i + 20_000]
-                known.update(zip(part_of, (np.array(e.ids, "<u4") for e in model.encode_batch(part_of, add_special_tokens=False)), strict=True))
-            for doc, words in zip(b["doc_id"], split, strict=True):
-                ids = np.concatenate([*map(known.__getitem__, words), np.array([END_ID], "<u4")])
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    own = ids[start : start + capacity]
-                    rows.append((doc, k, start, len(own), zlib.crc32(own.tobytes()), part, rank[len(own)], own if keep_ids else None))
-                    rank[len(own)] += 1
+            words = set().union(*split)
+            if len(young) > CACHE:
+                young, old = {}, young
+            new = []
+            for w in words.difference(young):
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+            for k in range(0, len(new), 10_000):
+                own = new[k : k + 10_000]
+                young.update(zip(own, (array("I", e.ids).tobytes() for e in model.encode_batch(own, add_special_tokens=False)), strict=True))
+            for doc, own in zip(b["doc_id"], split, strict=True):
+                data = b"".join(map(young.__getitem__, own)) + end
+                for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                    piece = data[at : at + 4 * capacity]
+                    n = len(piece) // 4
+                    rows.append((doc, k, at // 4, n, zlib.crc32(piece), part, rank[n], np.frombuffer(piece, "<u4").astype(np.int64) if keep_ids else None))
+                    rank[n] += 1
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
