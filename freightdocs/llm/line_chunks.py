@@ -54,44 +54,44 @@ def chunks(text: str) -> list[tuple[int, int, bytes]]:
 
 def _tagged(docs: DataFrame) -> DataFrame:
     """Rows are told apart by id and text: rows that repeat both count as one document and come out alike."""
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "_tag": F.xxhash64("text")})
+    return docs.withColumns({"__row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "__row_tag": F.xxhash64("text")})
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``_id, _tag, start, end`` of every chunk whose bytes occurred before, in another document or higher up in the same."""
+    """``__row_id, __row_tag, start, end`` of every chunk whose bytes occurred before, in another document or higher up in the same."""
     small_batches(docs.sparkSession)
-    texts = _tagged(narrow(docs, "doc_id", "text")).select("_id", "_tag", "text").filter("text IS NOT NULL")
+    texts = _tagged(narrow(docs, "doc_id", "text")).select("__row_id", "__row_tag", "text").filter("text IS NOT NULL")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame(
                 [(i, t, s, e, hashlib.blake2b(x, digest_size=16).digest())
-                 for i, t, text in zip(b["_id"], b["_tag"], b["text"], strict=True) for s, e, x in chunks(text)],
-                columns=["_id", "_tag", "start", "end", "digest"])
+                 for i, t, text in zip(b["__row_id"], b["__row_tag"], b["text"], strict=True) for s, e, x in chunks(text)],
+                columns=["__row_id", "__row_tag", "start", "end", "digest"])
 
-    found = written(texts.mapInPandas(cut, "_id long, _tag long, start int, end int, digest binary"), "line-chunks")
-    place = F.struct("_id", "_tag", "start", "end")
+    found = written(texts.mapInPandas(cut, "__row_id long, __row_tag long, start int, end int, digest binary"), "line-chunks")
+    place = F.struct("__row_id", "__row_tag", "start", "end")
     again = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
     places = written(found.join(again.select("digest", "first"), "digest").select(
-        "digest", *[F.col(c) for c in ("_id", "_tag", "start", "end")], place.eqNullSafe(F.col("first")).alias("is_first")).distinct(),
+        "digest", *[F.col(c) for c in ("__row_id", "__row_tag", "start", "end")], place.eqNullSafe(F.col("first")).alias("is_first")).distinct(),
         "line-repeats")
 
     # bytes of those chunks alone; one list for each document, no longer than the document
-    per_doc = places.groupBy("_id", "_tag").agg(F.collect_list(F.struct("start", "end", "digest", "is_first")).alias("at"))
+    per_doc = places.groupBy("__row_id", "__row_tag").agg(F.collect_list(F.struct("start", "end", "digest", "is_first")).alias("at"))
 
     def bytes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, t, text, at in zip(b["_id"], b["_tag"], b["text"], b["at"], strict=True):
+            for i, t, text, at in zip(b["__row_id"], b["__row_tag"], b["text"], b["at"], strict=True):
                 lines = text.encode("utf-8", "surrogatepass").split(b"\n")
                 rows += [(i, t, x["start"], x["end"], x["digest"], x["is_first"], b"\n".join(lines[x["start"] : x["end"]])) for x in at]
-            yield pd.DataFrame(rows, columns=["_id", "_tag", "start", "end", "digest", "is_first", "body"])
+            yield pd.DataFrame(rows, columns=["__row_id", "__row_tag", "start", "end", "digest", "is_first", "body"])
 
-    bodies = written(texts.join(per_doc, ["_id", "_tag"]).mapInPandas(
-        bytes_of, "_id long, _tag long, start int, end int, digest binary, is_first boolean, body binary"), "line-bodies")
+    bodies = written(texts.join(per_doc, ["__row_id", "__row_tag"]).mapInPandas(
+        bytes_of, "__row_id long, __row_tag long, start int, end int, digest binary, is_first boolean, body binary"), "line-bodies")
     firsts = bodies.filter("is_first").groupBy("digest").agg(F.min("body").alias("first_body"))
     later = bodies.filter("NOT is_first").join(firsts, "digest").filter("body = first_body")
-    return later.select("_id", "_tag", "start", "end").distinct()
+    return later.select("__row_id", "__row_tag", "start", "end").distinct()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     A null text stays null with 0 lines, an empty one is one line and stays. An empty table gives an empty table. A column
     of ``docs`` that is named like one of the three counts gives way to it.
     """
-    repeats = repeated_chunks(docs).groupBy("_id", "_tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
+    repeats = repeated_chunks(docs).groupBy("__row_id", "__row_tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "cut_lines", "cut_chunks")]
 
     @F.pandas_udf("text string, n_lines long, cut_lines long, cut_chunks long")
@@ -118,7 +118,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             rows.append(("\n".join(lines), n, n - len(lines), len(gone)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "cut_lines", "cut_chunks"])
 
-    joined = _tagged(docs.select(*[F.col(f"`{c}`") for c in keep])).join(repeats, ["_id", "_tag"], "left")
-    out = joined.withColumn("_new", without("text", "_cut"))
-    return out.select(*[F.col("_new.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in keep],
-                      "_new.n_lines", "_new.cut_lines", "_new.cut_chunks")
+    joined = _tagged(docs.select(*[F.col(f"`{c}`") for c in keep])).join(repeats, ["__row_id", "__row_tag"], "left")
+    out = joined.withColumn("__new", without("text", "__cut"))
+    return out.select(*[F.col("__new.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in keep],
+                      "__new.n_lines", "__new.cut_lines", "__new.cut_chunks")

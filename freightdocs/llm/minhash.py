@@ -277,7 +277,7 @@ def representatives(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     Rows that repeat an id are one document: the one with the smallest text stays. Rows without an id all stay.
     """
     kept = near_duplicates(docs, size, num, den).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rows = docs.select("doc_id", F.struct(F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"))
-    one = rows.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("_row").alias("_row"))
-    back = [F.col(f"_row.`{c}`") for c in docs.columns]
+    rows = docs.select("doc_id", F.struct(F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__row"))
+    one = rows.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("__row").alias("__row"))
+    back = [F.col(f"__row.`{c}`") for c in docs.columns]
     return one.select(*back).unionByName(docs.filter("doc_id IS NULL"))

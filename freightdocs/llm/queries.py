@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightdocs.llm import classifier, licenses, line_chunks, minhash, packing, passages, quality_rules, secrets, vectors
+from freightdocs.llm import classifier, licenses, line_chunks, minhash, packing, passages, pieces, quality_rules, secrets, vectors
 from freightdocs.llm.common import read_table, tokenizer_path
 from freightdocs.llm.registry import CHECKS, QUERIES, register
 
@@ -63,6 +63,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, num=85, den=100)
 
 
+@register("op5_sentencepiece")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.Model(tokenizer_path("piece_bpe_32k.model"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.decode(pieces.encode(docs, model), model)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 @register("op6_substring_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_passages(read_table(spark, sf_dir, "documents"))

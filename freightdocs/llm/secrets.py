@@ -181,8 +181,8 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """
     cut = clearing_cut(docs, rate)
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("base", "spans")]
-    found = docs.select(*keep, found_in(F.coalesce(F.col("text"), F.lit("")), cut).alias("_found"))
-    return found.select(*keep, "_found.base", "_found.spans")
+    found = docs.select(*keep, found_in(F.coalesce(F.col("text"), F.lit("")), cut).alias("__found"))
+    return found.select(*keep, "__found.base", "__found.spans")
 
 
 def listed(spans: Column) -> Column:
