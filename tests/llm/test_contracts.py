@@ -230,6 +230,9 @@ def test_line_dedup(spark):
         found = line_chunks.deduplicated(frame)
         assert counted(found.select("doc_id", "text").collect(), ("doc_id", "text")) == cut_lines(texts)
     assert found.filter("cut_chunks > 0").count() > 0
+    few = line_chunks.deduplicated(table(spark))
+    assert few.columns == [c for c in table(spark).columns if c != "n_lines"] + ["n_lines", "cut_lines", "cut_chunks"]
+    assert {r._id for r in few.collect()} == {"y"}
     assert line_chunks.deduplicated(empty(spark)).count() == 0
 
 
