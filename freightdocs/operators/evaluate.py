@@ -19,14 +19,18 @@ def flatten_record(df: DataFrame, fields, lists=(), ids=("doc_id",)) -> DataFram
 
 
 def field_diffs(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Leaf rows that differ: unexpected, missing, length or differing."""
+    """Leaf rows that differ: unexpected, missing, length or differing.
+
+    List items are compared up to the shorter list; the surplus shows in the length alone.
+    """
     left = expected.select("doc_id", "path", F.col("value").alias("expected"), F.lit(True).alias("_in_e"))
     right = actual.select("doc_id", "path", F.col("value").alias("actual"), F.lit(True).alias("_in_a"))
     joined = left.join(right, ["doc_id", "path"], "full_outer")
     kind = (F.when(F.col("_in_e").isNull(), "unexpected").when(F.col("_in_a").isNull(), "missing")
             .when(~F.col("expected").eqNullSafe(F.col("actual")),
                   F.when(F.endswith("path", F.lit("#")), "length").otherwise("differs")))
-    return joined.withColumn("kind", kind).filter("kind IS NOT NULL").select(
+    surplus = F.col("kind").isin("missing", "unexpected") & F.rlike("path", F.lit(r"\[\d+\]"))
+    return joined.withColumn("kind", kind).filter(F.col("kind").isNotNull() & ~surplus).select(
         "doc_id", "path", "kind", "expected", "actual")
 
 

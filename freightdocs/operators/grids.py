@@ -76,9 +76,15 @@ def suppress_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 # ---- DOC-7
+def _filled(cells: DataFrame) -> Column:
+    """A cell with a value, or with a formula whose value is not cached."""
+    out = F.coalesce("value", F.lit("")) != ""
+    return out | F.coalesce(F.startswith("formula", F.lit("=")), F.lit(False)) if "formula" in cells.columns else out
+
+
 def sheet_bounds(cells: DataFrame) -> DataFrame:
     """Last row and column with content per sheet."""
-    return cells.filter(F.col("value") != "").groupBy("doc_id", "sheet").agg(
+    return cells.filter(_filled(cells)).groupBy("doc_id", "sheet").agg(
         F.max("row").alias("max_row"), F.max("col").alias("max_col"))
 
 
@@ -90,14 +96,14 @@ def trim(cells: DataFrame) -> DataFrame:
 
 # ---- DOC-8
 def column_letter(n: Column) -> Column:
-    """1 is A, 27 is AA (up to four letters)."""
-    def digit(rest: Column) -> Column:
-        return F.char(F.lit(65) + (rest - 1) % 26)
-    out, rest = F.lit(""), n
-    for _ in range(4):
-        out = F.when(rest > 0, F.concat(digit(rest), out)).otherwise(out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0))
-    return out
+    """1 is A, 27 is AA; fourteen steps are enough for every bigint."""
+    start = F.struct(n.cast("bigint").alias("rest"), F.lit("").alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        rest = s["rest"] - 1
+        return F.when(s["rest"] > 0, F.struct(F.floor(rest / F.lit(26).cast("decimal(20,0)")).cast("bigint").alias("rest"), F.concat(
+            F.char(F.lit(65) + rest % 26), s["out"]).alias("out"))).otherwise(s)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda s: s["out"])
 
 
 def _row_line(head: Column, cells: Column) -> Column:
@@ -148,7 +154,11 @@ def formula_lines(cells: DataFrame) -> DataFrame:
 
 # ---- DOC-9
 def coverage(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Per document: sheets, filled cells, merged ranges, formulas and their cached values."""
+    """Per document: sheets, filled cells, merged ranges, formulas and their cached values.
+
+    Cells that a merged range covers are not counted.
+    """
+    cells = suppress_merged(cells, ranges)
     is_formula = F.coalesce(F.startswith("formula", F.lit("=")), F.lit(False))
     has_value = F.coalesce("value", F.lit("")) != ""
     missing = is_formula & ~has_value

@@ -83,12 +83,13 @@ def _(spark, sf):
 
 
 @register("src_5_order_requests", with_facts("""
-SELECT k AS doc_id, CASE WHEN k % 5 IN (1, 2, 3) THEN NULL ELSE nation END AS content,
-  CASE WHEN k % 5 IN (1, 2, 3) THEN 'invalid_request' END AS error_code FROM f"""))
+SELECT k AS doc_id, CASE WHEN k % 5 IN (1, 2, 3) OR k % 10 IN (4, 9) THEN NULL ELSE nation END AS content,
+  CASE WHEN k % 5 IN (1, 2, 3) OR k % 10 IN (4, 9) THEN 'invalid_request' END AS error_code FROM f"""))
 def _(spark, sf):
     df = keyed(spark, sf, nation="nation", room="room").withColumn("value", F.expr(
         "CASE WHEN doc_id % 5 = 1 THEN '{\"content\": \"\", \"roomId\": \"r\"}' WHEN doc_id % 5 = 2 THEN "
         "'{\"content\": \"x\", \"roomId\": \"r\", \"more\": 1}' WHEN doc_id % 5 = 3 THEN 'no json' "
+        "WHEN doc_id % 10 = 4 THEN '{\"content\": 5, \"roomId\": \"r\"}' WHEN doc_id % 10 = 9 THEN '{\"content\": \"x\", \"roomId\": {\"r\": 1}}' "
         "ELSE '{\"content\": \" ' || nation || '\\\\n\", \"roomId\": \"' || room || '\"}' END"))
     return requests.checked_requests(df.select("doc_id", "value")).select(
         "doc_id", F.when(F.col("error_code").isNull(), F.col("content")).alias("content"), "error_code")

@@ -37,11 +37,11 @@ def _(spark, sf):
 
 @register("seg_3_html_cells", """
 SELECT p_partkey AS doc_id, CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col,
-       CASE WHEN r = 0 AND c = 0 THEN p_name || ' &' WHEN r = 0 THEN p_type WHEN c = 0 THEN 'size' ELSE CAST(p_size AS VARCHAR) END AS cell
+       CASE WHEN r = 0 AND c = 0 THEN p_name || ' &—件中&lt;€&bogus;' WHEN r = 0 THEN p_type WHEN c = 0 THEN 'size' ELSE CAST(p_size AS VARCHAR) END AS cell
 FROM part, (VALUES (0), (1)) a(r), (VALUES (0), (1)) b(c)""")
 def _(spark, sf):
     part = read_table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(
-        "'<TABLE border=1><tr class=\"a\"><td>' || p_name || ' &amp; <b></b></td><TH> <i>' || p_type || '</i></TH></tr>\n' || "
+        "'<TABLE border=1><tr class=\"a\"><td>' || p_name || ' &amp;&mdash;&#20214;&#x4E2D;&amp;lt;&#128;&bogus; <b></b></td><TH> <i>' || p_type || '</i></TH></tr>\n' || "
         "'<tr>\n<td>size</td><td>' || p_size || '\n</td></tr></TABLE>'").alias("text"))
     return seg.explode_cells(part, seg.html_rows(F.col("text")))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +26,18 @@ def local_session(app: str = "freightdocs", cpus: str | int = "*", partitions: i
 
 
 def working_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written tables and stream state, below the shared folder if there is one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        import uuid
+    """A fresh folder for written tables and stream state below the folder that all executors share.
 
-        return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
-    return tempfile.mkdtemp(prefix=f"freightdocs-{name}-")
+    Without ``spark.checkpoint.dir`` only a local session goes on, with a folder of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="freightdocs-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:

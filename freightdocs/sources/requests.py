@@ -19,7 +19,9 @@ def checked_columns() -> list[Column]:
     keys = F.json_object_keys("value")
     content, room = F.get_json_object("value", "$.content"), F.get_json_object("value", "$.roomId")
     stripped = t.strip(content)
-    bad = (keys.isNull() | (F.coalesce(content, F.lit("")) == "") | (F.coalesce(room, F.lit("")) == "")
+    parsed = F.try_parse_json("value")
+    text = [F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, f"$.{k}", "variant")) == "STRING", F.lit(False)) for k in ("content", "roomId")]
+    bad = (keys.isNull() | ~(text[0] & text[1]) | (F.coalesce(content, F.lit("")) == "") | (F.coalesce(room, F.lit("")) == "")
            | (F.size(F.array_except(keys, F.array(F.lit("content"), F.lit("roomId")))) > 0))
     return [stripped.alias("content"), room.alias("roomId"),
             F.when(F.coalesce(bad, F.lit(True)), "invalid_request")
