@@ -1,7 +1,7 @@
 """License scan by a positional rare-token index. Column expressions and joins only.
 
-The index holds, for each template, the words with the highest inverse document frequency over all templates, with their
-positions. A text's words that are in the index give votes ``(template, place in text - place in template)``: places that
+The index holds, for each template, its words with the highest inverse document frequency over all texts of the input, with
+their positions. A text's words that are in the index give votes ``(template, place in text - place in template)``: places that
 agree are votes for the same offset. An offset with enough different words is a candidate; it is accepted if the words of
 the text from there agree with the template's in at least ``SHARE`` of the places and its mandatory phrase stands among
 them. All index words of a text vote, so no text and no licence in it is left out.
@@ -11,7 +11,6 @@ The three base phrases are counted besides, wherever their words follow each oth
 
 from __future__ import annotations
 
-from collections import Counter
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -47,22 +46,30 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "attribution sharealike"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "commons attribution 4 0"),
 )
-#: Words of each template in the index, how many of them an offset needs (or all, if fewer), and the share of equal places.
-RARE, VOTES, SHARE = 5, 3, 0.6
+#: Words of each template in the index, how many of them an offset needs, and the share of equal places.
+RARE, VOTES, SHARE = 4, 2, 0.6
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def index() -> list[tuple[int, int, str, int]]:
-    """``(template, place, word, votes needed)`` for the rarest words of each template."""
-    words = [t.split() for _, t, _ in TEMPLATES]
-    held = Counter(w for ws in words for w in set(ws))
+def index(held: dict[str, int], texts: int) -> list[tuple[int, int, str]]:
+    """``(template, place, word)`` for the rarest words of each template; ``held``: texts that hold a word, of ``texts``."""
     out = []
-    for k, ws in enumerate(words):
-        rare = sorted(set(ws), key=lambda w: (-log(len(words) / held[w]), -len(w), w))[:RARE]
-        out += [(k, i, w, min(VOTES, len(rare))) for i, w in enumerate(ws) if w in rare]
+    for k, (_, wording, _) in enumerate(TEMPLATES):
+        words = wording.split()
+        present = [w for w in set(words) if held.get(w)]  # a word of no text has no postings to meet
+        rare = sorted(present, key=lambda w: (-log((texts + 1) / (held[w] + 1)), -len(w), w))[:RARE]
+        out += [(k, i, w) for i, w in enumerate(words) if w in rare]
     return out
 
 
+def frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
+    """In how many texts each licence word stands, over all texts: one number for each word of the templates."""
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, t, _ in TEMPLATES for w in t.split()})])
+    words = docs.select(F.explode(F.concat(F.array_intersect(license_words(F.col("text")), vocabulary), F.array(F.lit("")))).alias("word"))
+    held = {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).collect()}
+    return held, held.pop("", 0)
+
+
 def license_words(text: Column) -> Column:
     """Words of the text, A-Z lowered, without the empty parts that a separator at an end leaves."""
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SPLIT, -1), lambda w: w != "")
@@ -82,9 +89,8 @@ def phrase_places(words: Column, phrase: str) -> Column:
         .otherwise(F.array().cast("array<int>"))
 
 
-def _scanned(docs: DataFrame) -> DataFrame:
+def _scanned(docs: DataFrame, anchors: Column) -> DataFrame:
     """``doc_id, _id, _tag, n_words, base, own``: base places with labels, and the words of texts that hold an index word."""
-    anchors = F.array(*[F.lit(w) for w in sorted({w for _, _, w, _ in index()})])
     place = "array<struct<at:int,label:string>>"
 
     def read(words: Column) -> Column:
@@ -103,14 +109,14 @@ def _labelled(places: Column, label: str) -> Column:
     return F.transform(places, lambda i: F.struct(i.cast("int").alias("at"), F.lit(label).alias("label")))
 
 
-def _accepted(rows: DataFrame) -> DataFrame:
+def _accepted(rows: DataFrame, postings: list[tuple[int, int, str]], anchors: Column) -> DataFrame:
     """``_id, _tag, accepted``: label and share of each candidate offset that holds."""
-    spark = rows.sparkSession
-    postings = F.broadcast(spark.createDataFrame(index(), "template int, place int, word string, needed int"))  # a fixed table
-    texts = rows.filter("own IS NOT NULL").select("_id", "_tag", "own").distinct()
-    votes = texts.select("_id", "_tag", F.posexplode("own").alias("at", "word")).join(postings, "word")
-    offsets = votes.groupBy("_id", "_tag", "template", "needed", (F.col("at") - F.col("place")).alias("offset")) \
-        .agg(F.countDistinct("word").alias("n")).filter("n >= needed")
+    table = F.broadcast(rows.sparkSession.createDataFrame(postings, "template int, place int, word string"))  # RARE words of a template
+    texts = rows.filter("own IS NOT NULL").select("_id", "_tag", "own")
+    found = F.filter(F.transform("own", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(anchors, x["word"]))
+    votes = texts.select("_id", "_tag", F.explode(found).alias("x")).select("_id", "_tag", "x.*").join(table, "word")
+    offsets = votes.groupBy("_id", "_tag", "template", (F.col("at") - F.col("place")).alias("offset")) \
+        .agg(F.countDistinct("word").alias("n")).filter(F.col("n") >= VOTES)
     per_text = offsets.groupBy("_id", "_tag").agg(F.collect_list(F.struct("template", "offset")).alias("at"))
 
     wording = F.array(*[F.struct(F.lit(label).alias("label"), F.split(F.lit(t), " ").alias("words"), F.lit(f" {p} ").alias("phrase"))
@@ -128,7 +134,7 @@ def _accepted(rows: DataFrame) -> DataFrame:
 
     held = texts.join(per_text, ["_id", "_tag"]).select("_id", "_tag", F.filter(
         F.transform("at", judged), lambda j: j["phrase"] & (j["share"] >= SHARE)).alias("accepted"))
-    return held.filter(F.size("accepted") > 0)
+    return held.filter(F.size("accepted") > 0).groupBy("_id", "_tag").agg(F.first("accepted").alias("accepted"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -138,8 +144,10 @@ def scan(docs: DataFrame) -> DataFrame:
     the template places that hold (null if none). Null and empty texts have no words. Rows that repeat id and text come out
     alike. An empty table gives an empty table; other columns are left out.
     """
-    rows = _scanned(docs)
-    return rows.drop("own").join(_accepted(rows), ["_id", "_tag"], "left").select("doc_id", "n_words", "base", "accepted")
+    postings = index(*frequencies(docs))
+    anchors = F.array(*[F.lit(w) for w in sorted({w for _, _, w in postings})])
+    rows = _scanned(docs, anchors)
+    return rows.drop("own").join(_accepted(rows, postings, anchors), ["_id", "_tag"], "left").select("doc_id", "n_words", "base", "accepted")
 
 
 def digest(found: DataFrame) -> DataFrame:
