@@ -100,12 +100,12 @@ def _(spark, sf):
 
 
 @register("nrm_6_dates", with_facts("""
-SELECT k AS doc_id, coalesce(true_date, date_text) AS normalized, true_date AS parsed,
+SELECT k AS doc_id, coalesce(true_date, '　' || date_text) AS normalized, true_date AS parsed,
   CASE WHEN k % 19 = 0 THEN NULL ELSE true_date || 'T09:05:00' END AS parsed_time FROM f"""))
 def _(spark, sf):
     df = keyed(spark, sf, d="date_text")
-    return df.select("doc_id", v.normalize_date(F.concat(F.lit("　"), F.col("d"))).alias("n"), "d").select(
-        "doc_id", F.when(F.startswith("n", F.lit("　")), F.col("d")).otherwise(F.col("n")).alias("normalized"),
+    return df.select(
+        "doc_id", v.normalize_date(F.concat(F.lit("　"), F.col("d"))).alias("normalized"),
         v.parse_date(F.concat(F.lit("于 "), F.col("d"), F.lit(" 前"))).alias("parsed"),
         v.parse_date(F.concat(F.col("d"), F.lit(" 9：05 起")), allow_time=True).alias("parsed_time"))
 
