@@ -66,14 +66,14 @@ def _with_values(base: DataFrame, values: DataFrame, keys: list[str]) -> DataFra
 def force_blocking(df: DataFrame, codes: DataFrame) -> DataFrame:
     """ISS-3: some codes always block (``codes`` is the issue code dictionary)."""
     hits = codes.filter("always_blocking").select("code", F.lit(True).alias("_hit"))
-    return (df.join(F.broadcast(hits), "code", "left")
+    return (df.join(hits, "code", "left")
             .withColumn("blocking", F.coalesce("blocking", F.lit(True)) | F.coalesce("_hit", F.lit(False)))
             .drop("_hit"))
 
 
 def keep_known(df: DataFrame, codes: DataFrame, item_counts: DataFrame) -> DataFrame:
     """ISS-4: drop unknown codes and repair ``containers[]`` paths by the number of items."""
-    known = df.join(F.broadcast(codes.select("code")), "code", "left_semi")
+    known = df.join(codes.select("code"), "code", "left_semi")
     return (known.join(item_counts, "doc_id", "left")
             .withColumn("field", repaired_field(F.col("field"), F.coalesce("n_items", F.lit(0))))
             .drop("n_items"))
@@ -82,7 +82,7 @@ def keep_known(df: DataFrame, codes: DataFrame, item_counts: DataFrame) -> DataF
 def repaired_field(field: Column, n_items: Column) -> Column:
     return F.when(F.startswith(field, F.lit("containers[]")), F.concat(
         F.when(n_items == 1, F.lit("containers[0]")).otherwise(F.lit("containers")),
-        F.substring(field, 13, 10000))).otherwise(field)
+        F.substr(field, F.lit(13)))).otherwise(field)
 
 
 def remove(df: DataFrame, keys: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def ordered(df: DataFrame, codes: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    joined = df.join(F.broadcast(codes.select("code", "priority")), "code", "left").withColumn(
+    joined = df.join(codes.select("code", "priority"), "code", "left").withColumn(
         "priority", F.coalesce("priority", F.lit(D.DEFAULT_PRIORITY)))
     w = Window.partitionBy("doc_id").orderBy("priority", "code", "field")
     return joined.withColumn("place", F.row_number().over(w))

@@ -35,30 +35,25 @@ def canonical_fields(df: DataFrame, aliases: DataFrame, ids: tuple[str, ...] = (
     direct = aliases.select(F.col("alias").alias("key"), F.col("canonical").alias("_direct"))
     bare = aliases.select(F.col("alias").alias("_bare_key"), F.col("canonical").alias("_bare"))
     named = (
-        df.join(F.broadcast(direct), "key", "left")
+        df.join(direct, "key", "left")
         .withColumn("_bare_key", F.when(
             F.rlike("key", F.lit(rf"(?U){t.BLANK}")) & (F.coalesce("_direct", "key") == F.col("key")),
             t.remove_blanks(F.col("key"))))
-        .join(F.broadcast(bare), "_bare_key", "left")
+        .join(bare, "_bare_key", "left")
         .select(*ids, "pos", "value",
                 F.coalesce("_bare", "_direct", "key").alias("field"),
                 (F.col("_bare").isNull() & (F.coalesce("_direct", "key") == F.col("key"))).alias("own"))
     )
     keys = [*ids, "field"]
-    per_key = named.groupBy(*keys).agg(
-        F.max(F.when(F.col("own"), F.col("pos"))).alias("own_pos"),
-        F.max_by("value", F.when(F.col("own"), F.col("pos"))).alias("own_value"),
-        F.min(F.when(~F.col("own") & F.col("value").isNotNull(), F.struct("pos", "value"))).alias("alias_first"))
-    # a canonical null is filled by the first alias after it: only those keys need a second look
-    undecided = per_key.filter(F.col("own_pos").isNotNull() & F.col("own_value").isNull()
-                               & F.col("alias_first").isNotNull()).select(*keys, "own_pos")
-    later = (named.filter(~F.col("own") & F.col("value").isNotNull())
-             .join(undecided, keys).filter(F.col("pos") > F.col("own_pos"))
-             .groupBy(*keys).agg(F.min_by("value", "pos").alias("later_value")))
-    return per_key.join(later, keys, "left").select(
-        *keys,
-        F.when(F.col("own_pos").isNull(), F.col("alias_first.value"))
-        .otherwise(F.coalesce("own_value", "later_value")).alias("value"))
+    # a record holds each key once, so a field has no more entries than it has names
+    entries = named.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "own", "value"))).alias("entries"))
+
+    def decided(own: Column) -> Column:
+        after = F.filter(F.col("entries"), lambda e: ~e["own"] & e["value"].isNotNull() & (own.isNull() | (e["pos"] > own["pos"])))
+        return F.coalesce(own["value"], F.get(after, F.lit(0))["value"])
+
+    last_own = F.try_element_at(F.filter("entries", lambda e: e["own"]), F.lit(-1))
+    return entries.select(*keys, t.let(last_own, decided).alias("value"))
 
 
 def pivot_fields(fields: DataFrame, names, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -174,9 +169,9 @@ def is_known_type(c: Column) -> Column:
 
 
 def unknown_types(items: DataFrame, codes: DataFrame) -> DataFrame:
-    """Items whose type code is in no dictionary (broadcast anti join)."""
+    """Items whose type code is in no dictionary (anti join)."""
     return (items.withColumn("code", F.upper(v.container_type(F.col("type"))))
-            .join(F.broadcast(codes), "code", "left_anti"))
+            .join(codes, "code", "left_anti"))
 
 
 # ---- NRM-10

@@ -66,7 +66,7 @@ def validate_content(df: DataFrame, formats: DataFrame) -> DataFrame:
     image = F.col("suffix").isin(*D.IMAGE_SUFFIX_FORMAT)
     is_raster = F.col("detected").isin(*sorted(set(D.IMAGE_SUFFIX_FORMAT.values())))
     checked = image | F.col("suffix").isin(*D.DOCUMENT_SUFFIX_FORMATS)
-    return (df.join(F.broadcast(accepted), ["suffix", "detected"], "left")
+    return (df.join(accepted, ["suffix", "detected"], "left")
             .withColumn("content_error", F.when(image & ~is_raster, "unsupported_image_content")
                         .when(~image & (F.col("detected") == "empty"), "empty_file")
                         .when(checked & F.col("_ok").isNull(), "file_format_mismatch"))

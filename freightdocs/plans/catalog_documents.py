@@ -330,12 +330,12 @@ def _(spark, sf):
 
 
 @register("doc_21_parser_issues", f"""
-WITH {ROUTE_SQL} SELECT doc_id, page * 1000000 AS seq, code, 'source.pages[' || CAST(page - 1 AS VARCHAR) || ']' AS field FROM routed WHERE code <> ''
-UNION ALL SELECT doc_id, 0, 'conversion_coverage_incomplete', 'source' FROM documents WHERE doc_id % 5 = 0""")
+WITH {ROUTE_SQL} SELECT doc_id, page, 0 AS place, code, 'source.pages[' || CAST(page - 1 AS VARCHAR) || ']' AS field FROM routed WHERE code <> ''
+UNION ALL SELECT doc_id, 0, 0, 'conversion_coverage_incomplete', 'source' FROM documents WHERE doc_id % 5 = 0""")
 def _(spark, sf):
     own = read_table(spark, sf, "documents").select("doc_id", iss.issue_when(
         F.col("doc_id") % 5 == 0, "conversion_coverage_incomplete", "source", D.MESSAGES["coverage_incomplete"]).alias("issues"))
-    return pages.review_issues(own, routed_pages(spark, sf)).select("doc_id", "seq", "code", "field")
+    return pages.review_issues(own, routed_pages(spark, sf)).select("doc_id", F.col("seq.rank").alias("page"), F.col("seq.pos").alias("place"), "code", "field")
 
 
 @register("doc_22_image_pages", """

@@ -253,26 +253,32 @@ def _(spark, sf):
 
 
 @register("snk_2_log_retention", f"""
-WITH {LOG_SQL} SELECT seq, ts FROM log WHERE ts >= (SELECT max(ts) FROM log) - INTERVAL 24 HOUR""")
+WITH {LOG_SQL}, t AS (SELECT seq, date_trunc('millisecond', ts) AS ts FROM log)
+SELECT seq, ts FROM t WHERE ts >= (SELECT max(ts) FROM t) - INTERVAL 24 HOUR""")
 def _(spark, sf):
-    entries = corpus.request_log(spark, sf)
     # "now" is the newest entry, so that old test data keeps something
-    now = entries.agg(F.max("ts")).scalar()
-    return logs.retained(entries, now, 24).select("seq", "ts")
+    base, entries = working_dir(spark, "retention"), corpus.request_log(spark, sf)
+    logs.append_log(entries.withColumn("request_id", F.col("seq").cast("string")).drop("seq"), f"{base}/log")
+    logs.rewrite_retained(spark, f"{base}/log", f"{base}/kept", entries.agg(F.date_trunc("millisecond", F.max("ts"))).scalar(), 24)
+    return logs.read_log(spark, f"{base}/kept").select(F.col("request_id").cast("bigint").alias("seq"), "ts")
 
 
 @register("snk_3_order_payloads", with_facts(f"""
-SELECT k AS doc_id, '{{"apiKeyInfo":{{"ext_app_id":"A","ext_user_id":"U","jxt_open_id":"C1"}},"data":' || {PAYLOAD_SQL} || ',"userId":"O","roomId":"' || room || '"}}' AS payload
+SELECT '{{"apiKeyInfo":{{"ext_app_id":"A","ext_user_id":"U","jxt_open_id":"C1"}},"data":' || {PAYLOAD_SQL} || ',"userId":"O","roomId":"' || room || '"}}' AS payload
 FROM f WHERE bill IS NOT NULL AND ({TITLE}) IS NOT NULL"""))
 def _(spark, sf):
     ready, _ = extract.order_payloads(corpus.order_texts(spark, sf), customer_id="C1")
-    return ready.select("doc_id", requests.envelope(F.col("order_data"), F.col("roomId"), "A", "U", "C1", "O").alias("payload"))
+    out = working_dir(spark, "payloads")
+    requests.write_payloads(ready.select(requests.envelope(F.col("order_data"), F.col("roomId"), "A", "U", "C1", "O").alias("payload")), out)
+    return spark.read.text(out).withColumnRenamed("value", "payload")
 
 
 @register("snk_4_log_export", f"""
 WITH {LOG_SQL}, hit AS (SELECT seq FROM log WHERE status = 500) SELECT seq, (SELECT count(*) FROM hit) AS total FROM hit""")
 def _(spark, sf):
-    return logs.export_all(audit.search(corpus.request_log(spark, sf), status=500)).select("seq", "total")
+    out = working_dir(spark, "export")
+    logs.write_export(audit.search(corpus.request_log(spark, sf), status=500), out)
+    return spark.read.schema("seq bigint, total bigint, exported_at timestamp").json(out).filter("exported_at IS NOT NULL").select("seq", "total")
 
 
 @register("snk_5_single_entry_export", f"""
@@ -300,13 +306,26 @@ def _(spark, sf):
                                      F.count_if(F.col("error_code") == "order_not_ready").alias("rejected"))
 
 
+def streamed_log(spark, sf):
+    """The search table that the stream makes from one log file, which was appended to in the order of the entries."""
+    base = working_dir(spark, "log-stream")
+    lines = corpus.request_log(spark, sf).repartitionByRange(1, "seq").sortWithinPartitions("seq").drop("seq").select(F.to_json(F.struct("*")).alias("value"))
+    lines.write.text(f"{base}/in")
+    flows.stream_log(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("str_2_newest_page", f"""
+WITH {LOG_SQL} SELECT path, CAST(status AS BIGINT) AS status, file, request_id FROM log
+WHERE path <> '/api/logs' AND request_id IS NOT NULL ORDER BY seq DESC LIMIT 100 OFFSET 50""")
+def _(spark, sf):
+    items, _ = audit.page(streamed_log(spark, sf).filter("request_id LIKE 'req-%'"), limit=100, offset=50)
+    return items.select("path", "status", "file", "request_id")
+
+
 @register("str_2_streaming_log", f"""
 WITH {LOG_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS log_date, count(*) AS n, count(*) FILTER (status >= 400) AS errors
 FROM log WHERE path <> '/api/logs' GROUP BY 1""")
 def _(spark, sf):
-    base = working_dir(spark, "log-stream")
-    corpus.request_log(spark, sf).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{base}/in")
-    flows.stream_log(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
-    table = spark.read.parquet(f"{base}/out")
-    return table.groupBy(F.col("log_date").cast("string").alias("log_date")).agg(
+    return streamed_log(spark, sf).groupBy(F.col("log_date").cast("string").alias("log_date")).agg(
         F.count("*").alias("n"), F.count_if(F.col("error.code").isNotNull()).alias("errors"))

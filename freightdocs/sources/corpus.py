@@ -78,8 +78,7 @@ def facts(spark: SparkSession, sf_dir: str, with_lines: bool = True) -> DataFram
     else:
         base = base.withColumns({n: F.lit(None).cast("bigint") for n in ("n_lines", "p1", "p2", "q1", "q2")})
     # text work is heavy per byte: spread the short fact rows over all tasks (the key is unique)
-    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return base.repartition(n_tasks, "k").select("*", *[F.expr(e).alias(n) for n, e in FACTS.items()])
+    return base.repartition("k").select("*", *[F.expr(e).alias(n) for n, e in FACTS.items()])
 
 
 BOX_TEXT = ("CASE WHEN n_lines = 0 THEN NULL WHEN n_lines = 1 THEN cast(q1 AS string) || '*' || type1 "

@@ -46,6 +46,12 @@ def retained(df: DataFrame, now: Column, keep_hours: int) -> DataFrame:
     return out.filter(F.col("log_date") >= F.to_date(limit)) if "log_date" in df.columns else out
 
 
+def rewrite_retained(spark: SparkSession, path: str, out: str, now: Column, keep_hours: int) -> None:
+    """SNK-2 on a written log: the kept entries as a new log folder; whole dates before the limit are not read."""
+    kept = retained(spark.read.schema(f"{LOG_FIELDS}, log_date date").json(path), now, keep_hours)
+    kept.write.mode("overwrite").partitionBy("log_date").json(out)
+
+
 def export_all(df: DataFrame) -> DataFrame:
     """SNK-4: rows of the current search with the export time and their total.
 
@@ -54,6 +60,11 @@ def export_all(df: DataFrame) -> DataFrame:
     return df.withColumns({"total": df.agg(F.count("*")).scalar(), "exported_at": F.current_timestamp()})
 
 
+def write_export(df: DataFrame, path: str) -> None:
+    """SNK-4: the export as JSON lines."""
+    export_all(df).write.mode("overwrite").json(path)
+
+
 def export_one(df: DataFrame, request_id: str) -> DataFrame:
     """SNK-5: one entry as JSON text with its error lifted to the top."""
     return df.filter(F.col("request_id") == request_id).select(F.to_json(F.struct(

@@ -36,9 +36,15 @@ def stream_orders(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
 
 
 def stream_log(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """STR-2: log lines in, search table by date out."""
-    lines = spark.readStream.schema("value string").text(in_dir)
-    entries = decode_lines(lines.withColumn("seq", F.get_json_object("value", "$.seq").cast("bigint")))
+    """STR-2: log lines in, search table by date out.
+
+    A line's place in the log is the time and name of its file and its number there; log files are small (they are
+    rotated), so each is read as one row and its lines are numbered.
+    """
+    files = spark.readStream.schema("value string").text(in_dir, wholetext=True).select(
+        F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"), "value")
+    lines = files.select("at", "file", F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    entries = decode_lines(lines.select("value", F.struct("at", "file", "line").alias("seq")))
     rows = audit.logged(stamped(entries)).withColumn("error", audit.error_default(F.col("status"), F.col("error")))
     writer = (rows.withColumn("log_date", F.to_date("ts")).writeStream.format("parquet")
               .partitionBy("log_date").option("checkpointLocation", checkpoint).option("path", out_dir))
