@@ -23,3 +23,12 @@ def settle(df: DataFrame) -> DataFrame:
 def explode_rows(df: DataFrame, values: Column, pos: str, name: str) -> DataFrame:
     """``posexplode`` of a computed array that evaluates the array once."""
     return df.select("doc_id", F.posexplode_outer(values).alias(pos, name)).filter(F.col(pos).isNotNull())
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out for heavy work per row where the scan has fewer splits than there are cores (one small file).
+
+    Tables of many splits are left as they are: a shuffle of all texts would cost more than it gains.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(key) if df.rdd.getNumPartitions() < cores else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freightdocs import dictionaries as D
+from freightdocs.functions.plan import spread
 from freightdocs.operators import evaluate, grids, pages, render, triage
 from freightdocs.operators import issues as iss
 from freightdocs.plans.catalog import blank_record, item, items, keyed, register, with_facts
@@ -175,13 +176,13 @@ ROUTE_SQL = PAGES_SQL + OCR_SQL + """, routed AS (SELECT doc_id, page, CASE WHEN
 
 def page_texts(spark, sf):
     """Documents cut into pages; some pages carry a label, some broken glyphs."""
-    docs = read_table(spark, sf, "documents")
-    n = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / PAGE_CHARS).cast("int") + 1
-    cut = docs.withColumn("page", F.explode(F.sequence(F.lit(1), n)))
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    whole = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PAGE_CHARS}}}"), F.lit(0))  # one walk over the text
+    cut = docs.select("doc_id", F.posexplode(F.when(F.size(whole) > 0, whole).otherwise(F.array(F.lit("")))).alias("page", "part"))
+    cut = cut.withColumn("page", F.col("page") + 1)
     key = F.col("doc_id") + F.col("page")
     return cut.select("doc_id", "page", F.concat(
-        F.substring(F.col("text"), (F.col("page") - 1) * PAGE_CHARS + 1, F.lit(PAGE_CHARS)),
-        F.when(key % 3 == 0, " 提 单 号").otherwise(""), F.when(key % 5 == 0, "(cid:12)�" * 120).otherwise("")).alias("text"))
+        "part", F.when(key % 3 == 0, " 提 单 号").otherwise(""), F.when(key % 5 == 0, "(cid:12)�" * 120).otherwise("")).alias("text"))
 
 
 def ocr_results(spark, sf):

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freightdocs import dictionaries as D
+from freightdocs.functions.plan import spread
 from freightdocs.operators import issues as iss
 from freightdocs.operators import reconcile as rec
 from freightdocs.plans import extract
 from freightdocs.plans.catalog import blank_record, issue_lines, item, items, keyed, register, with_facts
+from freightdocs.session import read_table
 from freightdocs.sources import corpus
 
 K8 = corpus.KEY8
@@ -225,14 +227,16 @@ def _(spark, sf):
     return out.select("doc_id", "remark", F.get("issues", F.lit(0))["source_values"].alias("rejected"))
 
 
-@register("rec_18_document_grounding", "SELECT doc_id, true AS grounded FROM documents")
+@register("rec_18_document_grounding", r"""
+WITH t AS (SELECT doc_id, regexp_extract(text, '[A-Za-z]{4,}') AS word FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN word <> '' THEN word END AS remark, 'zz' || CAST(doc_id AS VARCHAR) || 'qq' AS rejected FROM t""")
 def _(spark, sf):
-    # whole document texts as sources: a clause cut from the end of a text is found in it
-    from freightdocs.session import read_table
-    df = read_table(spark, sf, "documents")
-    clause = F.right(rec.grounding_key(F.col("text")), F.lit(30))
-    both = blank_record(df.select("doc_id", "text", clause.alias("remark"))).withColumn("issues", iss.no_issues())
-    return rec.grounded_remarks(both).select("doc_id", F.col("remark").isNotNull().alias("grounded"))
+    # whole document texts as sources: a word of the text is found in it, an invented one is not
+    df = spread(read_table(spark, sf, "documents").select("doc_id", "text").filter("text IS NOT NULL"), "doc_id")
+    word = F.regexp_extract("text", "[A-Za-z]{4,}", 0)
+    both = blank_record(df.select("doc_id", "text", F.concat(word, F.lit("；zz"), F.col("doc_id").cast("string"), F.lit("qq")).alias("remark")))
+    out = rec.grounded_remarks(both.withColumn("issues", iss.no_issues()))
+    return out.select("doc_id", "remark", F.get("issues", F.lit(0))["source_values"].alias("rejected"))
 
 
 @register("rec_19_conflict_markers", with_facts("""
@@ -253,15 +257,13 @@ def _(spark, sf):
 
 
 @register("rec_21_required_fields", with_facts("""
-SELECT k AS doc_id, title AS customer, concat_ws('|', CASE WHEN title IS NULL THEN 'missing_customer' END, CASE WHEN k % 2 = 0 THEN 'missing_loading_time' END,
+SELECT k AS doc_id, title AS customer, concat_ws('|', CASE WHEN bill IS NULL THEN 'missing_mbl_no' END, CASE WHEN title IS NULL THEN 'missing_customer' END, CASE WHEN k % 2 = 0 THEN 'missing_loading_time' END,
   CASE WHEN bill IS NULL THEN 'missing_mbl_no' END, CASE WHEN k % 3 = 0 THEN 'missing_address' END) AS codes FROM f"""))
 def _(spark, sf):
     df = record(spark, sf, cells=False, customer="coalesce(' ' || title || ' ', '　')", loading_time="CASE WHEN k % 2 = 1 THEN '2020-01-01' END", mbl_no="bill",
                 issues=[("'missing_mbl_no'", "'mbl_no'", "'old'", True)]).withColumn("factory", factory(address="CASE WHEN doc_id % 3 > 0 THEN 'road' END"))
     out = rec.required_fields(df)
-    return out.select("doc_id", "customer", F.array_distinct(F.array_sort(F.transform("issues", lambda i: i["code"]))).alias("codes")).select(
-        "doc_id", "customer", F.filter(F.array(*[F.lit(c) for c in ("missing_customer", "missing_loading_time", "missing_mbl_no", "missing_address")]),
-                                       lambda c: F.array_contains("codes", c)).alias("codes"))
+    return out.select("doc_id", "customer", F.transform("issues", lambda i: i["code"]).alias("codes"))
 
 
 @register("rec_22_order_note", with_facts(f"""

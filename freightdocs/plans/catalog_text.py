@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from freightdocs.functions.plan import spread
 from freightdocs.functions import text as t
 from freightdocs.functions.plan import explode_rows
 from freightdocs.operators import labels as lab
@@ -20,7 +21,7 @@ SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, regexp_replace(line, '^\s+|\s+$
 FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
       FROM (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS parts FROM documents))""")
 def _(spark, sf):
-    docs = read_table(spark, sf, "documents").select(
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(
         "doc_id", F.concat(F.lit("_p"), F.col("doc_id").cast("string"), F.lit("_ "), F.col("text")).alias("text"))
     return seg.explode_lines(docs)
 
@@ -120,7 +121,7 @@ def _(spark, sf):
 SELECT token, count(*) AS n, regexp_full_match(token, '[0-9]+[A-Za-z]{2,}') AS quantity_like
 FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]{8,}')) AS token FROM documents) GROUP BY token""")
 def _(spark, sf):
-    docs = read_table(spark, sf, "documents")
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return (docs.select(F.explode(seg.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
             .withColumn("quantity_like", seg.looks_like_quantity(F.col("token"))))
 
