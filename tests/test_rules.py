@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from freightdocs import dictionaries as D
 from freightdocs.functions import values as v
-from freightdocs.functions.text import clauses, strip
+from freightdocs.functions.text import clauses, strip, unescape_entities
 from freightdocs.operators import grids, issues, labels, mapping, normalize, orders, pages, reconcile, routing, segments
+from freightdocs.plans import extract
 from freightdocs.plans.catalog import blank_record, item, items
 from freightdocs.sources import requests
 
@@ -165,3 +166,40 @@ def test_overlap_by_centre_and_by_identical_boxes(spark):
             (2, 1, 0, "船名", 0.0, 10.0, 0.0, 10.0), (2, 1, 1, "件数", 8.0, 18.0, 0.0, 10.0), (3, 1, 0, "船名", 5.0, 9.0, 5.0, 9.0), (3, 1, 1, "船名", 5.0, 9.0, 5.0, 9.0)]
     boxes = spark.createDataFrame(rows, "doc_id long, page int, idx int, text string, x0 double, x1 double, top double, bottom double")
     assert {r["doc_id"]: r["bbox_overlap"] for r in pages.overlapping_pages(boxes).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_candidate_with_items_factory_and_issues(spark):
+    entry = "doc_id long, pos int, key string, value string"
+    nested = "doc_id long, idx int, pos int, key string, value string"
+    top = spark.createDataFrame([(1, 0, "提单号", "ABCD12345678"), (1, 1, "件数", "7"), (2, 0, "mbl_no", "B"), (3, 0, "mbl_no", "C"),
+                                 (4, 0, "箱型箱量", "2 x 40HQ")], entry)
+    item_rows = spark.createDataFrame([(1, 0, 0, "type", "40'HQ"), (1, 0, 1, "qty", "1"), (1, 1, 0, "type", "20GP"), (1, 1, 1, "packages", "12 CTNS")], nested)
+    factory_rows = spark.createDataFrame([(1, 0, "name", "Works"), (1, 1, "address", "Road 1")], entry)
+    issue_rows = spark.createDataFrame(
+        [(1, 1, k, key, value) for k, (key, value) in enumerate((("code", "late"), ("field", "etd"), ("message", "m"), ("blocking", "no")))]
+        + [(1, 0, k, key, value) for k, (key, value) in enumerate((("code", "odd"), ("field", "pol"), ("message", "n"), ("source_values", '["x","y"]')))]
+        + [(2, 0, 0, "code", "broken"), (3, 0, 0, "code", "broken")], nested)
+    repaired = spark.createDataFrame([(3, 0, k, key, "r") for k, key in enumerate(("code", "field", "message"))], nested)
+    found = {r.doc_id: r for r in extract.candidate_records(top, item_rows, factory_rows, issue_rows, repaired).collect()}
+    one_ = found[1]
+    assert [(c["type"], c["qty"], c["packages"]) for c in one_.containers] == [("40HQ", 1, 7), ("20GP", None, 12)]
+    assert one_.factory["name"] == "Works" and one_.factory["address"] == "Road 1" and one_.mbl_no == "ABCD12345678"
+    assert [(i["code"], i["source_values"], i["blocking"]) for i in one_.review_issues] == [("odd", ["x", "y"], True), ("late", [], False)]
+    assert found[2].record_error and found[3].record_error is None and codes(found[3], "review_issues") == ["r"]
+    assert [(c["type"], c["qty"]) for c in found[4].containers] == [("40HQ", 2)] and found[2].containers == []
+    docs = spark.createDataFrame([(k, "a.pdf", "text") for k in (1, 2, 9)], "doc_id long, file string, text string")
+    joined = {r.doc_id: r for r in extract.working_records(docs, extract.candidate_records(top, item_rows, factory_rows, issue_rows, repaired)).collect()}
+    assert joined[9].record_error == "no_candidate" and joined[1].record_error is None and joined[2].record_error and len(joined) == 3
+
+
+def test_entities(spark):
+    import html
+
+    for text in ("&mdash;&#20214;&#x4E2D;&#128;&amp;lt;", "&notit; &bogus; & &#0; &#xD800; &#1114112;", "a&nbsp;b&copy", "&#99999999999;"):
+        assert one(spark, unescape_entities(F.lit(text))) == html.unescape(text)
+
+
+def test_reply_search_has_no_depth(spark):
+    deep = '{"markdown": 7, "a": ' * 60 + '{"markdown": " text "}' + "}" * 60
+    frame = spark.createDataFrame([(1, deep), (2, "no json"), (3, None), (4, '{"markdown": {"markdown": "inner"}}'), (5, "[" * 5000)], "doc_id long, payload string")
+    assert {r.doc_id: r.value for r in pages.payload_markdown(frame).collect()} == {1: " text ", 4: "inner"}
