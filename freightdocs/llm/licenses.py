@@ -4,7 +4,8 @@ The index holds, for each template, its words with the highest inverse document
 their positions. A text's words that are in the index give votes ``(template, place in text - place in template)``: places that
 agree are votes for the same offset. An offset with enough different words is a candidate; it is accepted if the words of
 the text from there agree with the template's in at least ``SHARE`` of the places and its mandatory phrase stands among
-them. All index words of a text vote, so no text and no licence in it is left out.
+them. Texts that lack a word of every mandatory phrase cannot hold a licence and do not vote; all index words of the others
+do, so no licence is left out.
 
 The three base phrases are counted besides, wherever their words follow each other.
 """
@@ -54,8 +55,10 @@ SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def index(held: dict[str, int], texts: int) -> list[tuple[int, int, str]]:
     """``(template, place, word)`` for the rarest words of each template; ``held``: texts that hold a word, of ``texts``."""
     out = []
-    for k, (_, wording, _) in enumerate(TEMPLATES):
+    for k, (_, wording, phrase) in enumerate(TEMPLATES):
         words = wording.split()
+        if not all(held.get(w) for w in phrase.split()):
+            continue  # no text holds this phrase
         present = [w for w in set(words) if held.get(w)]  # a word of no text has no postings to meet
         rare = sorted(present, key=lambda w: (-log((texts + 1) / (held[w] + 1)), -len(w), w))[:RARE]
         out += [(k, i, w) for i, w in enumerate(words) if w in rare]
@@ -89,15 +92,19 @@ def phrase_places(words: Column, phrase: str) -> Column:
         .otherwise(F.array().cast("array<int>"))
 
 
-def _scanned(docs: DataFrame, anchors: Column) -> DataFrame:
-    """``doc_id, _id, _tag, n_words, base, own``: base places with labels, and the words of texts that hold an index word."""
+def _scanned(docs: DataFrame) -> DataFrame:
+    """``doc_id, _id, _tag, n_words, base, own``: base places with labels, and the words of texts that hold all words of a mandatory phrase."""
+    phrases = sorted({p for *_, p in TEMPLATES})
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for p in phrases for w in p.split()})])
+    needed = F.array(*[F.array(*[F.lit(w) for w in p.split()]) for p in phrases])
     place = "array<struct<at:int,label:string>>"
 
     def read(words: Column) -> Column:
         base = F.flatten(F.array(*[_labelled(phrase_places(words, p), label) for label, p in PHRASES])).cast(place)
         return F.struct(F.size(words).cast("long").alias("n_words"),
                         F.when(F.array_contains(words, "license"), base).otherwise(F.array().cast(place)).alias("base"),
-                        F.when(F.arrays_overlap(words, anchors), words).alias("own"))
+                        F.when(let(F.array_intersect(words, vocabulary), lambda mine: F.exists(
+                            needed, lambda p: F.size(F.array_except(p, mine)) == 0)), words).alias("own"))
 
     rows = narrow(docs, "doc_id", "text").select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("_id"), F.xxhash64("text").alias("_tag"),
@@ -145,8 +152,8 @@ def scan(docs: DataFrame) -> DataFrame:
     alike. An empty table gives an empty table; other columns are left out.
     """
     postings = index(*frequencies(docs))
-    anchors = F.array(*[F.lit(w) for w in sorted({w for _, _, w in postings})])
-    rows = _scanned(docs, anchors)
+    anchors = F.array(*[F.lit(w) for w in sorted({w for _, _, w in postings})]).cast("array<string>")
+    rows = _scanned(docs)
     return rows.drop("own").join(_accepted(rows, postings, anchors), ["_id", "_tag"], "left").select("doc_id", "n_words", "base", "accepted")
 
 
