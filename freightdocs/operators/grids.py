@@ -136,12 +136,6 @@ def range_name(r1: Column, c1: Column, r2: Column, c2: Column) -> Column:
     return F.concat(column_letter(c1), r1.cast("string"), F.lit(":"), column_letter(c2), r2.cast("string"))
 
 
-def grid_text(lines: DataFrame) -> DataFrame:
-    """One text per sheet from its lines."""
-    return lines.groupBy("doc_id", "sheet").agg(
-        F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("text"))
-
-
 def formula_lines(cells: DataFrame) -> DataFrame:
     """Table rows of formula cells with their cached value or ``_unavailable_``."""
     place = F.concat(column_letter(F.col("col")), F.col("row").cast("string"))
@@ -152,6 +146,40 @@ def formula_lines(cells: DataFrame) -> DataFrame:
                  F.lit(" |")).alias("line"))
 
 
+def sheet_text(cells: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(doc_id, sheet, text): the grid, then the merged ranges, then the formulas; ``_empty sheet_`` where nothing is filled.
+
+    Lines are gathered last and once per sheet: they are its text.
+    """
+    if "formula" not in cells.columns:
+        cells = cells.withColumn("formula", F.lit(None).cast("string"))
+    shown = suppress_merged(cells, ranges)
+    bounds = sheet_bounds(shown)
+
+    def numbered(df: DataFrame, part: int) -> DataFrame:
+        return df.select("doc_id", "sheet", F.lit(part).alias("part"), F.struct(
+            F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).alias("at"), "line")
+
+    def heading(df: DataFrame, part: int, *lines: str) -> DataFrame:
+        rows = F.posexplode(F.array(*[F.lit(x) for x in lines])).alias("b", "line")
+        return numbered(df.select("doc_id", "sheet").distinct().select("doc_id", "sheet", F.lit(-1).alias("a"), rows), part)
+
+    grid = grid_lines(shown).select("doc_id", "sheet", F.col("line_no").alias("a"), F.lit(0).alias("b"), "line")
+    kept = ranges.join(bounds, ["doc_id", "sheet"], "left_semi")
+    merged = kept.select("doc_id", "sheet", F.col("r1").alias("a"), F.col("c1").alias("b"), F.concat(
+        F.lit("- `"), range_name(F.col("r1"), F.col("c1"), F.col("r2"), F.col("c2")), F.lit("`")).alias("line"))
+    formulas = formula_lines(trim(shown)).select("doc_id", "sheet", F.col("row").alias("a"), F.col("col").alias("b"), "line")
+    empty = cells.select("doc_id", "sheet").distinct().join(bounds, ["doc_id", "sheet"], "left_anti")
+    parts = [numbered(grid, 0), heading(merged, 1, "", "### Merged ranges", ""), numbered(merged, 1),
+             heading(formulas, 2, "", "### Formula cells", "", "| Cell | Formula | Cached value |", "| --- | --- | --- |"),
+             numbered(formulas, 2), heading(empty, 0, "_empty sheet_")]
+    lines = parts[0]
+    for more in parts[1:]:
+        lines = lines.unionByName(more)
+    return lines.groupBy("doc_id", "sheet").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("part", "at", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
 # ---- DOC-9
 def coverage(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Per document: sheets, filled cells, merged ranges, formulas and their cached values.

@@ -129,6 +129,32 @@ def _(spark, sf):
     return grids.grid_lines(cells(spark, sf)).select("doc_id", "line_no", "line")
 
 
+SHOWN_SQL = CELLS_SQL + """, shown AS (SELECT *, row BETWEEN 2 AND 4 AND col BETWEEN 2 AND 3 AND NOT (row = 2 AND col = 2) AS covered FROM
+    (SELECT * REPLACE (CASE WHEN doc_id % 4 = 3 THEN '' ELSE value END AS value), k % 9 = 0 AND doc_id % 4 <> 3 AS is_formula FROM cells)),
+b AS (SELECT doc_id, max(row) AS max_row, max(col) AS max_col FROM shown WHERE NOT covered AND (value <> '' OR is_formula) GROUP BY 1)"""
+
+
+@register("doc_8_sheet_text", f"""
+WITH {SHOWN_SQL}, lines AS (
+  SELECT s.doc_id, 0 AS part, row AS a, 0 AS b, '| ' || CAST(row AS VARCHAR) || ' | ' || string_agg(CASE WHEN covered THEN '' ELSE replace(value, '|', '\\|') END, ' | ' ORDER BY col) || ' |' AS line
+  FROM shown s JOIN b ON b.doc_id = s.doc_id WHERE row <= max_row AND col <= max_col GROUP BY s.doc_id, row
+  UNION ALL SELECT doc_id, 0, -1, 0, '| _row/col_ | ' || array_to_string((ARRAY['A','B','C','D','E','F','G','H','I','J'])[1:max_col], ' | ') || ' |' FROM b
+  UNION ALL SELECT doc_id, 0, -1, 1, '| --- | ' || array_to_string(list_resize(['---'], max_col, '---'), ' | ') || ' |' FROM b
+  UNION ALL SELECT doc_id, 1, 0, 0, chr(10) || '### Merged ranges' || chr(10) || chr(10) || '- `B2:C4`' FROM b
+  UNION ALL SELECT DISTINCT s.doc_id, 2, -1, 0, chr(10) || '### Formula cells' || chr(10) || chr(10) || '| Cell | Formula | Cached value |' || chr(10) || '| --- | --- | --- |'
+  FROM shown s JOIN b ON b.doc_id = s.doc_id WHERE is_formula AND NOT covered AND row <= max_row AND col <= max_col
+  UNION ALL SELECT s.doc_id, 2, row, col, '| ' || chr(CAST(64 + col AS INTEGER)) || CAST(row AS VARCHAR) || ' | =A1 | ' || CASE WHEN value = '' THEN '_unavailable_' ELSE replace(value, '|', '\\|') END || ' |'
+  FROM shown s JOIN b ON b.doc_id = s.doc_id WHERE is_formula AND NOT covered AND row <= max_row AND col <= max_col
+  UNION ALL SELECT DISTINCT doc_id, 0, 0, 0, '_empty sheet_' FROM shown WHERE doc_id NOT IN (SELECT doc_id FROM b))
+SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY part, a, b)) AS text_sha, count(*) > 1 AS filled FROM lines GROUP BY doc_id""")
+def _(spark, sf):
+    # one sheet in four is empty
+    blank = F.col("doc_id") % 4 == 3
+    some = cells(spark, sf).withColumns({"value": F.when(blank, "").otherwise(F.col("value")), "formula": F.when(~blank, F.col("formula"))})
+    out = grids.sheet_text(some, ranges(spark, sf))
+    return out.select("doc_id", F.sha2("text", 256).alias("text_sha"), (F.col("text") != "_empty sheet_").alias("filled"))
+
+
 @register("doc_8_column_letters", """
 WITH RECURSIVE n AS (SELECT p_partkey, p_partkey * 7919 AS rest, '' AS letters FROM part
   UNION ALL SELECT p_partkey, (rest - 1) // 26, chr(CAST(65 + (rest - 1) % 26 AS INTEGER)) || letters FROM n WHERE rest > 0)

@@ -23,6 +23,10 @@ def case(spark, rule, text=None, **fields):
     return rule(reconcile.begin(blank_record(df))).first()
 
 
+def no_ranges(spark):
+    return spark.createDataFrame([], "doc_id long, sheet string, r1 long, r2 long, c1 long, c2 long")
+
+
 def codes(row, name="issues"):
     return [i["code"] for i in row[name]]
 
@@ -55,7 +59,7 @@ def test_an_escaped_pipe_stays_in_its_cell(spark):
 def test_grid_and_cells_round_trip(spark):
     rows = [(1, "s", r, c, f"v{r}|{c}") for r in (1, 3) for c in (1, 2)]
     cells = spark.createDataFrame(rows, "doc_id long, sheet string, row long, col long, value string")
-    text = grids.grid_text(grids.grid_lines(cells)).select("doc_id", "text")
+    text = grids.sheet_text(cells, no_ranges(spark)).select("doc_id", "text")
     got = text.select(segments.table_rows(F.col("text")).alias("x")).first()["x"]
     assert got == [["v1|1", "v1|2"], ["", ""], ["v3|1", "v3|2"]]
 
