@@ -32,6 +32,11 @@ def page(df: DataFrame, limit: int = 200, offset: int = 0) -> tuple[DataFrame, D
     return df.orderBy(F.col("seq").desc()).offset(offset).limit(limit), df.agg(F.count("*").alias("total"))
 
 
+def page_before(df: DataFrame, last_seen: Column, limit: int = 200) -> DataFrame:
+    """The next page of deep paging: entries older than the last one seen; no task holds the pages before."""
+    return df.filter(F.col("seq") < last_seen).orderBy(F.col("seq").desc()).limit(limit)
+
+
 # ---- LOG-3
 def latest(df: DataFrame, n: int = D.LOG_WINDOW) -> DataFrame:
     return df.orderBy(F.col("seq").desc()).limit(n)

@@ -235,6 +235,26 @@ def paragraph_lines(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "p", F.posexplode(shown).alias("k", "line"))
 
 
-def section_lines(df: DataFrame, heading: Column) -> DataFrame:
-    """Paragraphs of a story, text box or image reference below their own heading."""
-    return df.select("doc_id", "p", F.explode(F.array(heading, F.col("text"))).alias("line"))
+def section_lines(df: DataFrame) -> DataFrame:
+    """Lines ``(doc_id, at, k, line)`` of stories, text boxes and embedded images, each kind below its own heading.
+
+    ``df(doc_id, kind, part_no, part, n, text, file, relation)``: ``kind`` is ``story``, ``text_box`` or ``image``, ``n`` counts
+    from 1 within a story part or, for the other two, within the document. A heading comes once, however many rows follow.
+    """
+    number = F.col("n").cast("string")
+    kind = F.col("kind")
+    rank = F.when(kind == "story", 0).when(kind == "text_box", 1).otherwise(2).alias("rank")
+    part = F.when(kind == "story", F.col("part_no")).otherwise(0).alias("part_no")
+
+    def lines(*parts) -> Column:
+        return F.array(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    body = F.when(kind == "story", lines(F.concat(F.lit("_p"), number, F.lit("_ "), "text"), "")).when(
+        kind == "text_box", lines(F.concat(F.lit("### Text box "), number), F.concat(F.lit("_source: "), "part", F.lit("_")), "", F.col("text"), "")
+    ).otherwise(lines(F.concat(F.lit("### Image "), number, F.lit(": "), "file"), F.concat(
+        F.lit("_source: "), "part", F.lit("#"), "relation", F.lit("; content is routed separately for image verification_")), ""))
+    title = F.when(kind == "story", F.concat(F.lit("## Story: "), "part")).when(kind == "text_box", "## Text boxes").otherwise("## Embedded images")
+    bodies = df.select("doc_id", rank, part, "n", body.alias("lines"))
+    heads = df.select("doc_id", rank, part, F.lit(0).alias("n"), lines(title, "").alias("lines")).distinct()
+    return heads.unionByName(bodies).select(
+        "doc_id", F.struct("rank", "part_no", "n").alias("at"), F.posexplode("lines").alias("k", "line"))

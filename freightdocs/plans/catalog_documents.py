@@ -185,6 +185,22 @@ def _(spark, sf):
     return grids.paragraph_lines(df)
 
 
+@register("doc_10_sections", with_facts(r"""
+SELECT k AS doc_id, replace('## Story: header1.xml~~_p1_ ' || nation || '~~_p2_ ' || region || '~~## Story: footnotes.xml~~_p1_ ' || region
+  || '~~## Text boxes~~### Text box 1~_source: document.xml_~~' || nation || '~~### Text box 2~_source: document.xml_~~' || region || '~'
+  || CASE WHEN k % 3 = 0 THEN '~## Embedded images~~### Image 1: i.png~_source: document.xml#rId7; content is routed separately for image verification_~' ELSE '' END,
+  '~', chr(10)) AS text FROM f"""))
+def _(spark, sf):
+    rows = [("story", 0, "header1.xml", 1, "nation"), ("story", 0, "header1.xml", 2, "region"), ("story", 1, "footnotes.xml", 1, "region"),
+            ("text_box", 0, "document.xml", 1, "nation"), ("text_box", 0, "document.xml", 2, "region"), ("image", 0, "document.xml", 1, "nation")]
+    made = F.array(*[F.struct(F.lit(a).alias("kind"), F.lit(b).alias("part_no"), F.lit(c).alias("part"), F.lit(d).alias("n"), F.expr(e).alias("text"))
+                     for a, b, c, d, e in rows])
+    df = keyed(spark, sf, nation="nation", region="region").select("doc_id", F.explode(made).alias("x")).select("doc_id", "x.*")
+    df = df.filter((F.col("kind") != "image") | (F.col("doc_id") % 3 == 0)).withColumns({"file": F.lit("i.png"), "relation": F.lit("rId7")})
+    return grids.section_lines(df).groupBy("doc_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("at", "k", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
 # ------------------------------------------------------------------ pages
 PAGE_CHARS = 2000
 PAGES_SQL = f"""

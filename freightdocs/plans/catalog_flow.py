@@ -191,6 +191,15 @@ def _(spark, sf):
     return items.select("seq").withColumn("total", total.scalar())
 
 
+@register("log_2_next_page", f"""
+WITH {LOG_SQL}, hit AS (SELECT * FROM log WHERE status >= 404) SELECT seq FROM hit
+WHERE seq < (SELECT seq FROM hit ORDER BY seq DESC LIMIT 1 OFFSET 149) ORDER BY seq DESC LIMIT 100""")
+def _(spark, sf):
+    entries = corpus.request_log(spark, sf).filter("status >= 404")
+    items, _ = audit.page(entries, limit=100, offset=50)
+    return audit.page_before(entries, items.agg(F.min("seq")).scalar(), limit=100).select("seq")
+
+
 @register("log_3_last_window", f"WITH {LOG_SQL} SELECT seq, path FROM log ORDER BY seq DESC LIMIT 5000")
 def _(spark, sf):
     return audit.latest(corpus.request_log(spark, sf)).select("seq", "path")
