@@ -95,6 +95,22 @@ class Plan:
             self.gaps[gap].append((start, n))
 
 
+#: Signs that the tokenizer parts from letters before them.
+SIGNS = '.,!?;:*$%&#|"()-'
+
+
+def split_word(word: str) -> tuple[str, ...]:
+    """The letters of a word and the signs behind them, which are encoded apart; other words stay whole.
+
+    The tokenizer ignores case, so words of ASCII letters are shared by their lower case.
+    """
+    core = word.rstrip(SIGNS)
+    if not core.isalpha():
+        return (word,)
+    low = core.lower() if core.isascii() else core
+    return (low,) if len(core) == len(word) else (low, word[len(core):])
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Tokenize and cut: one row per piece with its length, CRC and rank among the pieces of its length in this partition.
 
@@ -118,15 +134,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
             words = set().union(*split)
             if len(young) > CACHE:
                 young, old = {}, young
-            new = []
-            for w in words.difference(young):
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
+            parts = {w: split_word(w) for w in words.difference(young) if w not in old}
+            young.update((w, old[w]) for w in words if w in old and w not in young)
+            new = list({p for two in parts.values() for p in two if p not in young})
             for k in range(0, len(new), 10_000):
                 own = new[k : k + 10_000]
                 young.update(zip(own, (array("I", e.ids).tobytes() for e in model.encode_batch(own, add_special_tokens=False)), strict=True))
+            young.update((w, b"".join(young[p] for p in two)) for w, two in parts.items())
             for doc, own in zip(b["doc_id"], split, strict=True):
                 data = b"".join(map(young.__getitem__, own)) + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
@@ -168,5 +182,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bo
         inside, each = r - rows[at, 1], rows[at, 3]
         return pd.DataFrame({"sequence_id": rows[at, 4] + inside // each, "offset": rows[at, 5] + inside % each * size})
 
-    placed = cut.join(base, ["part", "length"]).withColumn("at", slot(F.col("length"), F.col("base") + F.col("rank")))
+    # counts per partition grow with the input, so they are not broadcast
+    placed = cut.join(base.hint("merge"), ["part", "length"]).withColumn("at", slot(F.col("length"), F.col("base") + F.col("rank")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", *["ids"] * keep_ids)
