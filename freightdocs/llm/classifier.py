@@ -181,7 +181,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def score(text: pd.Series) -> pd.Series:
         if network is None:
             return pd.Series(np.full(len(text), 0.5))
-        return pd.Series(network.scores(np.stack([pooled(t, vectors) for t in text]).astype(float)))
+        # row by row, so that a text's score does not depend on the batch that it comes in
+        return pd.Series([float(network.scores(pooled(t, vectors)[None].astype(float))[0]) for t in text])
 
     out = narrow(docs, "doc_id", "text").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
