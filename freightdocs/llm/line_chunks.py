@@ -5,12 +5,15 @@ A text's lines are hashed, and a rolling hash over the last ``WINDOW`` line hash
 the next one or two, and a passage is cut alike wherever it stands. Chunks with two or more lines that hold a word are
 grouped over the whole corpus by a 128-bit digest; those that occur again are compared byte by byte with the first
 occurrence (smallest id, then place), and cut out where the bytes are equal.
+
+Such chunks find a short repeated block only if it happens to hold two borders. With ``line_pairs`` every two neighbouring
+lines that hold a word are a chunk of their own, so that all repeated runs of two or more lines go, whatever is around them.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,13 +55,26 @@ def chunks(text: str) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def line_pairs(text: str) -> list[tuple[int, int, bytes]]:
+    """``(first line, end line, bytes)`` of every two neighbouring lines that hold a word, with the blank lines between them."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    at = [k for k, x in enumerate(lines) if x.strip()]
+    return [(s, e + 1, b"\n".join(lines[s : e + 1])) for s, e in zip(at, at[1:])]
+
+
+Cutter = Callable[[str], list[tuple[int, int, bytes]]]
+
+
 def _tagged(docs: DataFrame) -> DataFrame:
     """Rows are told apart by id and text: rows that repeat both count as one document and come out alike."""
     return docs.withColumns({"__row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "__row_tag": F.xxhash64("text")})
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``__row_id, __row_tag, start, end`` of every chunk whose bytes occurred before, in another document or higher up in the same."""
+def repeated_chunks(docs: DataFrame, cutter: Cutter = chunks) -> DataFrame:
+    """``__row_id, __row_tag, start, end`` of every chunk whose bytes occurred before, in another document or higher up in the same.
+
+    A chunk that shares lines with the first occurrence itself is none.
+    """
     small_batches(docs.sparkSession)
     texts = _tagged(narrow(docs, "doc_id", "text")).select("__row_id", "__row_tag", "text").filter("text IS NOT NULL")
 
@@ -66,15 +82,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame(
                 [(i, t, s, e, hashlib.blake2b(x, digest_size=16).digest())
-                 for i, t, text in zip(b["__row_id"], b["__row_tag"], b["text"], strict=True) for s, e, x in chunks(text)],
+                 for i, t, text in zip(b["__row_id"], b["__row_tag"], b["text"], strict=True) for s, e, x in cutter(text)],
                 columns=["__row_id", "__row_tag", "start", "end", "digest"])
 
     found = written(texts.mapInPandas(cut, "__row_id long, __row_tag long, start int, end int, digest binary"), "line-chunks")
     place = F.struct("__row_id", "__row_tag", "start", "end")
     again = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
     places = written(found.join(again.select("digest", "first"), "digest").select(
-        "digest", *[F.col(c) for c in ("__row_id", "__row_tag", "start", "end")], place.eqNullSafe(F.col("first")).alias("is_first")).distinct(),
-        "line-repeats")
+        "digest", *[F.col(c) for c in ("__row_id", "__row_tag", "start", "end")], place.eqNullSafe(F.col("first")).alias("is_first"),
+        ((F.col("__row_id") == F.col("first.__row_id")) & (F.col("__row_tag") == F.col("first.__row_tag"))
+         & (F.col("start") < F.col("first.end"))).alias("shares")).filter("is_first OR NOT shares").drop("shares").distinct(), "line-repeats")
 
     # bytes of those chunks alone; one list for each document, no longer than the document
     per_doc = places.groupBy("__row_id", "__row_tag").agg(F.collect_list(F.struct("start", "end", "digest", "is_first")).alias("at"))
@@ -94,14 +111,14 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return later.select("__row_id", "__row_tag", "start", "end").distinct()
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, cutter: Cutter = chunks) -> DataFrame:
     """All columns of ``docs``, with ``text`` cut, and ``n_lines, cut_lines, cut_chunks`` (long).
 
     The first occurrence of a chunk stays: the one with the smallest id (a null id comes first), then text hash, then place.
     A null text stays null with 0 lines, an empty one is one line and stays. An empty table gives an empty table. A column
-    of ``docs`` that is named like one of the three counts gives way to it.
+    of ``docs`` that is named like one of the three counts gives way to it. Chunks that overlap are cut and counted as one.
     """
-    repeats = repeated_chunks(docs).groupBy("__row_id", "__row_tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
+    repeats = repeated_chunks(docs, cutter).groupBy("__row_id", "__row_tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "cut_lines", "cut_chunks")]
 
     @F.pandas_udf("text string, n_lines long, cut_lines long, cut_chunks long")
@@ -112,7 +129,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 rows.append((None, 0, 0, 0))
                 continue
             lines = text.split("\n")
-            n, gone = len(lines), [] if cut is None else [(x["start"], x["end"]) for x in cut]
+            n, gone = len(lines), []
+            for x in () if cut is None else cut:
+                if gone and x["start"] < gone[-1][1]:
+                    gone[-1] = (gone[-1][0], max(gone[-1][1], x["end"]))
+                else:
+                    gone.append((x["start"], x["end"]))
             for s, e in reversed(gone):
                 del lines[s:e]
             rows.append(("\n".join(lines), n, n - len(lines), len(gone)))

@@ -54,7 +54,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op3_line_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_chunks.deduplicated(read_table(spark, sf_dir, "documents"))
+    found = line_chunks.deduplicated(read_table(spark, sf_dir, "documents"), line_chunks.line_pairs)
     return found.select("doc_id", "text", "n_lines", "cut_lines", "cut_chunks")
 
 
