@@ -1,19 +1,16 @@
-"""License scan by a positional rare-token index. Column expressions and joins only.
+"""License scan by a positional index of the licence words. Column expressions and joins only.
 
-The index holds, for each template, its words with the highest inverse document frequency over all texts of the input, with
-their positions. A text's words that are in the index give votes ``(template, place in text - place in template)``: places that
-agree are votes for the same offset. An offset with enough different words is a candidate; it is accepted if the words of
-the text from there agree with the template's in at least ``SHARE`` of the places and its mandatory phrase stands among
-them. Texts that lack a word of every mandatory phrase cannot hold a licence and do not vote; all index words of the others
-do, so no licence is left out.
+The index holds all words of each template with their positions. An accepted place contains its mandatory phrase, so the words
+of a text that stand within a template's length of such a phrase give votes ``(template, place in text - place in template)``:
+one for each place that agrees. An offset is a candidate if at least ``SHARE`` of its places agree, whichever words they are;
+it is accepted if the mandatory phrase stands among the words of the text from there. Texts that lack a word of every
+mandatory phrase cannot hold a licence and do not vote. What one text gets does not depend on the others.
 
 The three base phrases are counted besides, wherever their words follow each other.
 """
 
 from __future__ import annotations
 
-from math import log
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,30 +44,14 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "attribution sharealike"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "commons attribution 4 0"),
 )
-#: Words of each template in the index, how many of them an offset needs, and the share of equal places.
-RARE, VOTES, SHARE = 4, 2, 0.6
+#: The share of equal places that an offset needs, and the words of the longest template.
+SHARE, REACH = 0.6, max(len(t.split()) for _, t, _ in TEMPLATES)
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def index(held: dict[str, int], texts: int) -> list[tuple[int, int, str]]:
-    """``(template, place, word)`` for the rarest words of each template; ``held``: texts that hold a word, of ``texts``."""
-    out = []
-    for k, (_, wording, phrase) in enumerate(TEMPLATES):
-        words = wording.split()
-        if not all(held.get(w) for w in phrase.split()):
-            continue  # no text holds this phrase
-        present = [w for w in set(words) if held.get(w)]  # a word of no text has no postings to meet
-        rare = sorted(present, key=lambda w: (-log((texts + 1) / (held[w] + 1)), -len(w), w))[:RARE]
-        out += [(k, i, w) for i, w in enumerate(words) if w in rare]
-    return out
-
-
-def frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
-    """In how many texts each licence word stands, over all texts: one number for each word of the templates."""
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, t, _ in TEMPLATES for w in t.split()})])
-    words = docs.select(F.explode(F.concat(F.array_intersect(license_words(F.col("text")), vocabulary), F.array(F.lit("")))).alias("word"))
-    held = {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    return held, held.pop("", 0)
+def index() -> list[tuple[int, int, int, str]]:
+    """``(template, its words, place, word)`` for all words of each template."""
+    return [(k, len(words), i, w) for k, (_, t, _) in enumerate(TEMPLATES) for words in (t.split(),) for i, w in enumerate(words)]
 
 
 def license_words(text: Column) -> Column:
@@ -116,14 +97,23 @@ def _labelled(places: Column, label: str) -> Column:
     return F.transform(places, lambda i: F.struct(i.cast("int").alias("at"), F.lit(label).alias("label")))
 
 
-def _accepted(rows: DataFrame, postings: list[tuple[int, int, str]], anchors: Column) -> DataFrame:
+def _around_phrases(words: Column) -> Column:
+    """``array<struct<at, word>>``: the words within ``REACH`` of a place of a mandatory phrase."""
+    def near(line: Column) -> Column:
+        spots = F.flatten(F.array(*[F.when(line.contains(f" {p} "), phrase_places(words, p)).otherwise(F.array().cast("array<int>"))
+                                    for p in sorted({p for *_, p in TEMPLATES})]))
+        places = F.transform(spots, lambda p: F.sequence(F.greatest(p - REACH, F.lit(0)), F.least(p + REACH, F.size(words) - 1)))
+        return F.transform(F.array_distinct(F.flatten(places)), lambda i: F.struct(i.alias("at"), F.get(words, i).alias("word")))
+    return let(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), near)
+
+
+def _accepted(rows: DataFrame) -> DataFrame:
     """``_id, _tag, accepted``: label and share of each candidate offset that holds."""
-    table = F.broadcast(rows.sparkSession.createDataFrame(postings, "template int, place int, word string"))  # RARE words of a template
+    table = F.broadcast(rows.sparkSession.createDataFrame(index(), "template int, words int, place int, word string"))  # the templates' words
     texts = rows.filter("own IS NOT NULL").select("_id", "_tag", "own")
-    found = F.filter(F.transform("own", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(anchors, x["word"]))
-    votes = texts.select("_id", "_tag", F.explode(found).alias("x")).select("_id", "_tag", "x.*").join(table, "word")
-    offsets = votes.groupBy("_id", "_tag", "template", (F.col("at") - F.col("place")).alias("offset")) \
-        .agg(F.countDistinct("word").alias("n")).filter(F.col("n") >= VOTES)
+    votes = texts.select("_id", "_tag", F.explode(_around_phrases(F.col("own"))).alias("x")).select("_id", "_tag", "x.*").join(table, "word")
+    offsets = votes.groupBy("_id", "_tag", "template", "words", (F.col("at") - F.col("place")).alias("offset")) \
+        .agg(F.countDistinct("place").alias("n")).filter(F.col("n") / F.col("words") >= SHARE)
     per_text = offsets.groupBy("_id", "_tag").agg(F.collect_list(F.struct("template", "offset")).alias("at"))
 
     wording = F.array(*[F.struct(F.lit(label).alias("label"), F.split(F.lit(t), " ").alias("words"), F.lit(f" {p} ").alias("phrase"))
@@ -151,10 +141,8 @@ def scan(docs: DataFrame) -> DataFrame:
     the template places that hold (null if none). Null and empty texts have no words. Rows that repeat id and text come out
     alike. An empty table gives an empty table; other columns are left out.
     """
-    postings = index(*frequencies(docs))
-    anchors = F.array(*[F.lit(w) for w in sorted({w for _, _, w in postings})]).cast("array<string>")
     rows = _scanned(docs)
-    return rows.drop("own").join(_accepted(rows, postings, anchors), ["_id", "_tag"], "left").select("doc_id", "n_words", "base", "accepted")
+    return rows.drop("own").join(_accepted(rows), ["_id", "_tag"], "left").select("doc_id", "n_words", "base", "accepted")
 
 
 def digest(found: DataFrame) -> DataFrame:
