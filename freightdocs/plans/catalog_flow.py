@@ -316,11 +316,11 @@ def _(spark, sf):
 
 
 def streamed_log(spark, sf):
-    """The search table that the stream makes from one log file, which was appended to in the order of the entries."""
+    """The search table that the stream makes from a log, written in ranges of entries, whose file names have their order."""
     base = working_dir(spark, "log-stream")
-    lines = corpus.request_log(spark, sf).repartitionByRange(1, "seq").sortWithinPartitions("seq").drop("seq").select(F.to_json(F.struct("*")).alias("value"))
+    lines = corpus.request_log(spark, sf).repartitionByRange("seq").sortWithinPartitions("seq").drop("seq").select(F.to_json(F.struct("*")).alias("value"))
     lines.write.text(f"{base}/in")
-    flows.stream_log(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
+    flows.stream_log(spark, f"{base}/in", f"{base}/out", f"{base}/state", by_name=True).awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 

@@ -6,6 +6,9 @@ each file be written once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,16 +38,31 @@ def stream_orders(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def stream_log(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their number in their part of a file; a task reads the lines of a part in order."""
+    last, line = None, 0
+    for b in batches:
+        numbers = []
+        for place in zip(b.column("file").to_pylist(), b.column("block").to_pylist(), strict=True):
+            line = line + 1 if place == last else 0
+            last = place
+            numbers.append(line)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int64())], [*b.schema.names, "line"])
+
+
+def stream_log(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, once: bool = True, by_name: bool = False) -> StreamingQuery:
     """STR-2: log lines in, search table by date out.
 
-    A line's place in the log is the time and name of its file and its number there; log files are small (they are
-    rotated), so each is read as one row and its lines are numbered.
+    A line's place in the log is the time and name of its file, the start of the part of it that a task reads, and its
+    number there; files are read line by line. ``by_name``: the files are in the order of their names, whatever their times,
+    as the parts of one write are.
     """
-    files = spark.readStream.schema("value string").text(in_dir, wholetext=True).select(
-        F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"), "value")
-    lines = files.select("at", "file", F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    entries = decode_lines(lines.select("value", F.struct("at", "file", "line").alias("seq")))
+    lines = spark.readStream.schema("value string").text(in_dir).select(
+        F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), "value")
+    lines = lines.mapInArrow(_numbered, "at timestamp, file string, block bigint, value string, line bigint")
+    place = ("file", "block", "line") if by_name else ("at", "file", "block", "line")
+    entries = decode_lines(lines.select("value", F.struct(*place).alias("seq")))
     rows = audit.logged(stamped(entries)).withColumn("error", audit.error_default(F.col("status"), F.col("error")))
     writer = (rows.withColumn("log_date", F.to_date("ts")).writeStream.format("parquet")
               .partitionBy("log_date").option("checkpointLocation", checkpoint).option("path", out_dir))
