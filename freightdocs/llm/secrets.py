@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on long tokens. Column expressions only.
 
-Candidates of the battery are runs of 20 or more encoding characters outside the pattern hits. From its characters a token
+Candidates of the battery are runs of 20 or more encoding characters in what the pattern hits leave, and of runs with
+separators also the parts of 20 or more characters between ``/`` and ``+``, between ``_`` and ``-``, and between any of them. From its characters a token
 gets the smallest alphabet that an encoder would use (hex, base32, base36, base62, base64 or its URL form); tokens that lack
 a digit or a letter, or mixed case where the alphabet has both, have none and are ordinary text. The null hypothesis is that
 a token's symbols are uniform and independent; three tests of it are made:
@@ -28,6 +29,7 @@ FIELDS = ("start", "end", "rank", "kind", "word")
 KINDS = ("assign", "access", "hex", "random")
 
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+PARTS = tuple(f"(?<![{c}])[{c}]{{20,}}" for c in ("A-Za-z0-9", "A-Za-z0-9_-", "A-Za-z0-9+/"))
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings from the smallest alphabet up: what a token's body must match, and the alphabet in the order of its values.
 ENCODINGS = (
@@ -143,9 +145,32 @@ def weighted(p: Column, word: Column) -> Column:
     return F.least(F.lit(1.0), p * PLAIN_LENGTH / F.length(word))
 
 
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with as many spaces in place of each span."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(state: Column, s: Column) -> Column:
+        begin, end = F.greatest(state["at"], s["start"]), F.greatest(state["at"], s["end"])
+        return F.struct(end.alias("at"), F.concat(
+            state["out"], F.substring(text, state["at"] + 1, begin - state["at"]), F.repeat(F.lit(" "), end - begin)).alias("out"))
+
+    covered = F.aggregate(spans, start, add, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+    return F.when(F.size(spans) > 0, covered).otherwise(text)
+
+
+def candidates(text: Column) -> Column:
+    """Long tokens, and long parts of those with separators."""
+    def with_parts(tokens: Column) -> Column:
+        split = F.filter(tokens, lambda t: t["word"].rlike("[+/_-]"))
+        parts = F.concat(*[hits(text, p, "random") for p in PARTS])
+        inside = F.filter(parts, lambda p: F.exists(split, lambda t: (t["start"] <= p["start"]) & (p["end"] <= t["end"])))
+        return F.when(F.size(split) > 0, F.array_union(tokens, inside)).otherwise(tokens)
+    return let(hits(text, TOKEN, "random"), with_parts)
+
+
 def scored_tokens(text: Column, base: Column) -> Column:
-    """Long tokens that overlap no pattern hit, with their p-value."""
-    free = F.filter(hits(text, TOKEN, "random"), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    """Long tokens and parts outside pattern hits, with their p-value."""
+    free = let(blanked(text, base), candidates)
     scored = F.transform(free, lambda t: F.struct(*[t[c].alias(c) for c in FIELDS], randomness(t["word"]).alias("p")))
     return F.filter(scored, lambda t: t["p"].isNotNull())
 
