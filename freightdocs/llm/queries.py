@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightdocs.llm import classifier, licenses, line_chunks, minhash, packing, passages, pieces, quality_rules, secrets, vectors
+from freightdocs.llm import alignment, classifier, codes, licenses, line_chunks, minhash, packing, passages, pieces, quality_rules, secrets, top_scores, vectors
 from freightdocs.llm.common import read_table, tokenizer_path
 from freightdocs.llm.registry import CHECKS, QUERIES, register
 
@@ -100,4 +100,53 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read_table(spark, sf_dir, "documents")))
 
 
+CODES_SQL = """
+WITH RECURSIVE good AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT row_number() OVER () AS row, * FROM good),
+dims AS (SELECT row, vec_id, unnest(range(len(v))) AS d, unnest(v) AS x, len(v) // 16 AS w FROM r),
+x AS (SELECT row, d // w AS part, d % w AS pos, x FROM dims),
+seed AS (SELECT row, row_number() OVER (ORDER BY vec_id, v) - 1 AS entry FROM r QUALIFY entry < 64),
+book AS (
+  SELECT 0 AS round, part, entry, pos, x AS c FROM x JOIN seed USING (row)
+  UNION ALL
+  (WITH d AS (SELECT x.row, b.part, b.entry, sum((x.x - b.c) * (x.x - b.c)) AS e FROM x JOIN book b ON b.part = x.part AND b.pos = x.pos WHERE b.round < 2 GROUP BY ALL),
+   near AS (SELECT row, part, arg_min(entry, e * 64 + entry) AS entry FROM d GROUP BY ALL),
+   mean AS (SELECT x.part, near.entry, x.pos, CAST(floor(CAST(sum(x.x) AS DOUBLE) / count(*)) AS BIGINT) AS c
+     FROM x JOIN near ON near.row = x.row AND near.part = x.part GROUP BY ALL)
+   SELECT b.round + 1, b.part, b.entry, b.pos, coalesce(mean.c, b.c) FROM book b LEFT JOIN mean ON mean.part = b.part AND mean.entry = b.entry AND mean.pos = b.pos
+   WHERE b.round < 2)),
+last AS (SELECT * FROM book WHERE round = 2),
+d AS (SELECT x.row, b.part, b.entry, sum((x.x - b.c) * (x.x - b.c)) AS e FROM x JOIN last b ON b.part = x.part AND b.pos = x.pos GROUP BY ALL),
+near AS (SELECT row, part, arg_min(entry, e * 64 + entry) AS entry, min(e) AS e FROM d GROUP BY ALL),
+coded AS (SELECT row, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY part) AS code, CAST(sum(e) AS BIGINT) AS error FROM near GROUP BY row),
+digest AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM last)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN r USING (row), digest
+"""
+
+
+@register("op11_vector_codes", CODES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(read_table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+TOP_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS INTEGER) AS rank,
+  c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 5
+"""
+
+
+@register("op13_top_scores", TOP_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_scores.top_scores(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 __all__ = ["CHECKS", "QUERIES"]
