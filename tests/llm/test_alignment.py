@@ -89,3 +89,14 @@ def test_linked_pairs_are_bounded_by_the_vocabularies():
     (a, b), = voc.encode([text])
     n, linked, _ = voc.align(a, b)
     assert n == len(linked) and (voc.pairs[linked] >> 32 == a[[i for i in range(len(a)) if voc.a_length[a].cumsum()[i] in voc.b_length[b].cumsum()]]).all()
+
+
+def test_both_encoders_of_the_first_model_agree_on_every_character():
+    voc, (a, _) = alignment.vocabulary(A, B), models()
+    assert voc.ranks is not None
+    characters = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    for k in range(0, len(characters), 5000):
+        text = " " + "".join(f"a{c}1{c}{c} .{c}x  {c}\n{c}" for c in characters[k:k + 5000])
+        assert voc.ranks.encode_ordinary(text) == a.encode(text, add_special_tokens=False).ids
+    for text in ("x" * 300_000, " " * 3_000_000 + "x", "\n \t" * 500_000 + "!", "don't we'LL" * 1000):
+        assert voc.encode_a(text) == a.encode(text, add_special_tokens=False).ids
