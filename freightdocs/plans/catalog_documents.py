@@ -464,7 +464,7 @@ def _(spark, sf):
 @register("evl_1_field_diff", with_facts("""
 SELECT k AS doc_id, path, kind FROM (
   SELECT k, '$.bill' AS path, 'differs' AS kind FROM f WHERE k % 4 = 0 AND bill IS NOT NULL
-  UNION ALL SELECT k, '$.items#', 'length' FROM f WHERE k % 5 = 0
+  UNION ALL SELECT k, '$.items', 'length' FROM f WHERE k % 5 = 0
   UNION ALL SELECT k, '$.items[0].t', 'differs' FROM f WHERE k % 7 = 1) u"""))
 def _(spark, sf):
     base = keyed(spark, sf, bill="bill", nation="nation").withColumn("items", F.array(F.struct(F.lit("a").alias("t")), F.struct(F.lit("b").alias("t"))))
@@ -472,10 +472,40 @@ def _(spark, sf):
         "bill": F.when(F.col("doc_id") % 4 == 0, F.concat("bill", F.lit("!"))).otherwise(F.col("bill")),
         "items": F.transform(F.when(F.col("doc_id") % 5 == 0, F.slice("items", 1, 1)).otherwise(F.col("items")), lambda x, i: F.struct(
             F.when((i == 0) & (F.col("doc_id") % 7 == 1), "z").otherwise(x["t"]).alias("t")))})
-
-    def leaves(df):
-        return evaluate.flatten_record(df, ("bill", "nation"), (("items", ("t",)),))
-    return evaluate.field_diffs(leaves(base), leaves(changed)).select("doc_id", "path", "kind")
+    whole = F.struct("bill", "nation", "items").alias("record")
+    return evaluate.field_diffs(base.select("doc_id", whole), changed.select("doc_id", whole)).select("doc_id", "path", "kind")
+
+
+@register("evl_1_tree_diff", with_facts("""
+SELECT k AS doc_id, path, kind, expected, actual FROM (
+  SELECT k, '$' AS path, 'missing' AS kind, CAST(NULL AS VARCHAR) AS expected, NULL AS actual FROM f WHERE k % 50 = 0
+  UNION ALL SELECT k, '$.new', 'unexpected', NULL, '"' || region || '"' FROM f WHERE k % 50 > 0 AND k % 2 = 0
+  UNION ALL SELECT k, '$.items', 'length', '3', '2' FROM f WHERE k % 50 > 0 AND k % 3 = 0
+  UNION ALL SELECT k, '$.items[0].no', 'missing', CAST(k AS VARCHAR), NULL FROM f WHERE k % 50 > 0 AND k % 5 = 1
+  UNION ALL SELECT k, '$.items[1].boxes[0].seal.by', 'differs', '"' || nation || '"', 'null' FROM f WHERE k % 50 > 0 AND k % 7 = 2
+  UNION ALL SELECT k, '$.items[1].boxes[0].seal.more', 'unexpected', NULL, '[[1]]' FROM f WHERE k % 50 > 0 AND k % 7 = 2
+  UNION ALL SELECT k, '$.items[1].boxes[1]', 'differs', '{"seal":{"by":"' || nation || '"}}', '"box"' FROM f WHERE k % 50 > 0 AND k % 11 = 3
+  UNION ALL SELECT k, '$.deep[0][0][0].x.y.z', 'differs', 'true', '"true"' FROM f WHERE k % 50 > 0 AND k % 13 = 4) u"""))
+def _(spark, sf):
+    # JSON records of any shape: keys that come and go inside items, other kinds of values, numbers written in other ways
+    def record(**parts: str) -> str:
+        out = """'{<new>"n": <n>, "deep": [[[{"x": {"y": {"z": <z>}}}]]], "items": [{<own>"t": null}, {"boxes": [{"seal": {"by": <by>}}, <second>]}<third>]}'"""
+        for name, text in parts.items():
+            out = out.replace(f"<{name}>", f"' || {text} || '")
+        return out
+
+    nation = """'"' || nation || '"'"""
+    second = """'{"seal": {"by": "' || nation || '"}}'"""
+    own = """'"no": ' || k || ', '"""
+    expected = record(new="''", n="k || '.50'", z="'true'", own=own, by=nation, second=second, third="""', {"t": 3}'""")
+    actual = record(
+        new="""CASE WHEN k % 2 = 0 THEN '"new": "' || region || '", ' ELSE '' END""", n="k || '.5e0'", z="""CASE WHEN k % 13 = 4 THEN '"true"' ELSE 'true' END""",
+        own=f"CASE WHEN k % 5 = 1 THEN '' ELSE {own} END", by=f"""CASE WHEN k % 7 = 2 THEN 'null, "more": [[1]]' ELSE {nation} END""",
+        second=f"""CASE WHEN k % 11 = 3 THEN '"box"' ELSE {second} END""", third="""CASE WHEN k % 3 = 0 THEN '' ELSE ', {"t": 3}' END""")
+    df = keyed(spark, sf, expected=expected, actual=actual)
+    found = evaluate.field_diffs(df.select("doc_id", F.col("expected").alias("record")), df.filter("doc_id % 50 > 0").select("doc_id", F.col("actual").alias("record")))
+    # a record that is missing as a whole would show all of itself
+    return found.select("doc_id", "path", "kind", F.when(F.col("path") != "$", F.col("expected")).alias("expected"), "actual")
 
 
 @register("evl_2_fixture_integrity", """

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 CHECKED = ("seg_1_lines", "seg_4_table_rows", "lab_2_adjacent_values", "nrm_1_key_canonical", "nrm_6_dates", "rte_1_templates", "rte_9_locked_merge",
            "iss_1_append_merge", "iss_2_one_per_code", "iss_6_output_order", "rec_8_container_identifiers", "rec_20_missing_measures", "ord_6_payload",
            "log_1_search", "log_2_newest_page", "doc_1_formats", "doc_6_merged_ranges", "doc_12_label_overlap", "doc_18_assembly", "out_2_label_text",
-           "evl_1_field_diff", "str_1_streaming_orders", "snk_1_log_append")
+           "evl_1_field_diff", "evl_1_tree_diff", "str_1_streaming_orders", "snk_1_log_append")
 
 
 @pytest.fixture(scope="module")
