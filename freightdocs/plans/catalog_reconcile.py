@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from freightdocs import dictionaries as D
@@ -9,7 +10,7 @@ from freightdocs.functions.plan import spread
 from freightdocs.operators import issues as iss
 from freightdocs.operators import reconcile as rec
 from freightdocs.plans import extract
-from freightdocs.plans.catalog import blank_record, issue_lines, item, items, keyed, register, with_facts
+from freightdocs.plans.catalog import blank_record, issue_lines, item, items, keyed, note_sql, register, with_facts
 from freightdocs.session import read_table
 from freightdocs.sources import corpus
 
@@ -281,12 +282,76 @@ def _(spark, sf):
     return rec.snippet(df).select("doc_id", "raw_text_snippet")
 
 
-@register("iss_8_full_reconciliation", with_facts(f"""
-SELECT k AS doc_id, CASE k % 6 WHEN 0 THEN 'PACKING_NOTICE' WHEN 1 THEN 'TRANSPORT_ORDER' WHEN 2 THEN 'TRUCKING_ORDER' WHEN 3 THEN 'BOOKING_NOTE' WHEN 4 THEN 'TRUCKING_ORDER' ELSE 'PACKING_NOTICE' END AS doc_type,
-  CASE WHEN k % 9 = 0 THEN NULL ELSE c_name || ' CO' END AS shipper_company, child_bill AS hbl_no, coalesce(title, c_name) AS customer,
-  iso_date || 'T08:30:00' AS loading_time, region || ' ROAD 1' AS address, vessel, false AS ready_for_order,
-  concat_ws('|', CASE WHEN k % 13 <> 0 THEN '' END, CASE WHEN k % 13 = 0 THEN '' END) = '' AS consistent FROM f""".replace(
-    ",\n  concat_ws('|', CASE WHEN k % 13 <> 0 THEN '' END, CASE WHEN k % 13 = 0 THEN '' END) = '' AS consistent", "")))
+# ------------------------------------------------------------------ ISS-8 with OUT-3: notes and answers to strict records
+# One row per note: every field of the strict record, or what is wrong with the answer. The facts decide each value:
+# what the note states once wins over the answer, what neither has is an issue.
+M = {name: D.MESSAGES[name] for name in ("non_positive", "no_mbl", "no_address", "type_missing", "type_restored", "bill_format", "ungrounded", "bill_recovered", "carrier_by_mbl")}
+
+
+def _issue_sql(when: str, code: str, field: str, message: str, values: str, blocking: bool) -> str:
+    return f"CASE WHEN {when} THEN '{code}/' || {field} || '/' || {message} || '/' || {values} || '/{str(blocking).lower()}' END"
+
+
+ISSUES_SQL = ", ".join((
+    _issue_sql("items", "missing_container_measurements", "'containers[1]'", f"'{M['non_positive']}'", "'gross_weight_kg=0.0'", True),
+    _issue_sql("mbl IS NULL", "missing_mbl_no", "'mbl_no'", f"'{M['no_mbl']}'", "''", True),
+    _issue_sql("k % 17 = 0", "missing_address", "'factory.address'", f"'{M['no_address']}'", "''", True),
+    _issue_sql("n_lines = 0", "missing_container_type", "CASE WHEN items THEN 'containers' ELSE 'containers[0].type' END", f"'{M['type_missing']}'", "''", True),
+    _issue_sql("k % 5 <> 0 AND mbl IS NOT NULL", "carrier_by_mbl", "'carrier'", f"'{M['carrier_by_mbl']}'", "mbl || ',' || prefix_carrier", True),
+    _issue_sql("items AND type1 <> type2", "container_type_not_verbatim", "'containers[1].type'", f"'{M['type_restored']}'", "type2 || ',' || type1", False),
+    _issue_sql(f"{corpus.BAD_ISSUES} OR {corpus.OWN_ISSUES}", "document_value_unclear", "'remark'",
+               f"CASE WHEN {corpus.BAD_ISSUES} THEN 'repaired' ELSE 'see ' || CAST(k AS VARCHAR) END", f"CASE WHEN {corpus.BAD_ISSUES} THEN '' ELSE 'a,b' END", False).replace(
+        "/false' END", f"/' || CASE WHEN {corpus.BAD_ISSUES} THEN 'true' ELSE 'false' END END"),
+    _issue_sql("k % 4 <> 1 AND k % 11 = 0 AND bill IS NOT NULL", "invalid_mbl_no", "'mbl_no'", f"'{M['bill_format']}'", "bill", True),
+    _issue_sql("k % 4 = 1 AND mbl IS NOT NULL", "mbl_no_by_format", "'mbl_no'", f"'{M['bill_recovered']}'", "mbl", True),
+    _issue_sql("k % 4 = 0 OR k % 6 = 5", "ungrounded_text", "'remark'", f"'{M['ungrounded']}'", "CASE WHEN k % 4 = 0 THEN '开港时间：' || iso_date ELSE '轻放' END", True)))
+ITEMS_SQL = """CASE WHEN NOT items THEN concat_ws('/', coalesce(type1, '-'), CAST(coalesce(q1, 1) AS VARCHAR), packages, 'CTNS', '-', '-', '-', coalesce(mbl, '-'))
+  ELSE concat_ws('/', coalesce(type1, '-'), CAST(coalesce(q1, 1) AS VARCHAR), packages, 'CTNS', weight, volume, '-', '-') || ';' ||
+    concat_ws('/', coalesce(type1, '-'), '2', '7', 'PKGS', '-', '-', 'PO' || lpad(CAST(k AS VARCHAR), 8, '0'), '-') END"""
+NOTE_TEXT_SQL = f"""
+titles AS (SELECT k, {corpus.NOTE_TITLE} AS title FROM b),
+numbered AS (SELECT k, label, value, row_number() OVER (PARTITION BY k ORDER BY pos) AS n FROM nf),
+texts AS (SELECT k, CASE k % 3 WHEN 0 THEN '_p1_ ' || any_value(titles.title) || chr(10) || '_p2: (empty)_' || chr(10)
+      || string_agg('_p' || CAST(n + 2 AS VARCHAR) || '_ ' || label || '： ' || value, chr(10) ORDER BY n)
+    WHEN 1 THEN '## ' || any_value(titles.title) || chr(10) || '| _row/col_ | A | B |' || chr(10) || '| --- | --- | --- |' || chr(10)
+      || string_agg('| ' || CAST(n AS VARCHAR) || ' | ' || label || ' | ' || value || ' |', chr(10) ORDER BY n)
+    ELSE any_value(titles.title) || chr(10) || '<table>' || string_agg('<tr><td>' || label || '</td><td>' || value || '</td></tr>', '' ORDER BY n) || '</table>' || chr(10) END AS text
+  FROM numbered JOIN titles USING (k) GROUP BY k)"""
+FULL_SQL = note_sql(f""", {NOTE_TEXT_SQL}, g AS (SELECT *, {corpus.ITEMS} AS items, CASE WHEN k % 11 <> 0 THEN bill END AS mbl,
+  CASE WHEN k % 6 IN (1, 5) THEN region END AS kept_remark, CASE WHEN k % 9 = 0 THEN NULL ELSE c_name || ' CO' END AS shipper,
+  concat_ws('|', CASE WHEN {corpus.NO_ANSWER} THEN 'no_candidate' WHEN {corpus.BAD_ISSUES} AND NOT ({corpus.REPAIRED}) THEN 'code, field, and message must be non-empty strings' END,
+    CASE WHEN {corpus.BAD_NUMBER} AND NOT ({corpus.NO_ANSWER}) THEN 'containers' END) AS violations FROM f),
+h AS (SELECT *, concat_ws(';', {ISSUES_SQL}) AS review_issues FROM g),
+good AS (SELECT k AS doc_id, CASE k % 6 WHEN 0 THEN 'PACKING_NOTICE' WHEN 1 THEN 'TRANSPORT_ORDER' WHEN 2 THEN 'TRUCKING_ORDER' WHEN 3 THEN 'BOOKING_NOTE' WHEN 4 THEN 'TRUCKING_ORDER' ELSE 'PACKING_NOTICE' END AS doc_type,
+  NULL AS internal_ref, NULL AS customs_declaration_no, NULL AS customer_ref, mbl AS mbl_no, child_bill AS hbl_no, vessel, voyage,
+  CASE WHEN k % 5 = 0 THEN line_carrier WHEN mbl IS NOT NULL THEN prefix_carrier END AS carrier, NULL AS pol, NULL AS pod,
+  CASE k % 10 WHEN 0 THEN '见设备' WHEN 1 THEN region END AS transit_port, NULL AS terminal,
+  CASE WHEN k % 6 <> 0 AND k % 19 = 0 THEN date_text ELSE iso_date END AS etd, NULL AS si_cutoff, NULL AS customs_cutoff, iso_date || 'T08:30:00' AS loading_time,
+  coalesce(title, c_name) AS customer, shipper AS shipper_company, NULL AS shipper_agent, CASE WHEN k % 13 <> 0 THEN recipient END AS recipient,
+  CASE WHEN k % 19 = 0 THEN date_text ELSE iso_date END AS doc_date, NULL AS sender, title AS sender_contact, kept_remark AS remark,
+  {ITEMS_SQL} AS containers, '-/' || CASE WHEN k % 17 = 0 THEN '-' ELSE region || ' ROAD 1' END || '/-/-' AS factory,
+  concat_ws('/', '-', coalesce(mbl, '-'), coalesce(child_bill, '-'), coalesce(shipper, '-'), '-',
+    coalesce(nullif(concat_ws('；', kept_remark, CASE WHEN items THEN 'PO号：PO' || lpad(CAST(k AS VARCHAR), 8, '0') END), ''), '-')) AS order_mapping,
+  review_issues, review_issues NOT LIKE '%/true%' AS ready_for_order, concat_ws('/', 'note-' || CAST(year(odate) AS VARCHAR) || '-' || CAST(k AS VARCHAR) || '.docx', 'docx', '-', '-') AS source,
+  text[1:200] AS raw_text_snippet, '' AS violations FROM h JOIN texts USING (k) WHERE violations = '')
+SELECT * FROM good UNION ALL BY NAME SELECT k AS doc_id, violations FROM h WHERE violations <> ''""")
+
+
+@register("iss_8_full_reconciliation", FULL_SQL)
 def _(spark, sf):
-    out = extract.extract_records(corpus.notes(spark, sf), extract.candidate_records(corpus.candidates(spark, sf)))
-    return out.select("doc_id", "doc_type", "shipper_company", "hbl_no", "customer", "loading_time", "factory.address", "vessel", "ready_for_order")
+    good, bad = extract.strict_records(corpus.notes(spark, sf), extract.candidate_records(**corpus.answers(spark, sf)))
+
+    def shown(struct, *names) -> Column:
+        return F.concat_ws("/", *[F.coalesce(struct[n].cast("string"), F.lit("-")) for n in names])
+
+    item_parts = ("type", "qty", "packages", "packages_unit", "gross_weight_kg", "volume_cbm", "po_no", "mbl_no")
+    unset = F.exists("containers", lambda c: F.coalesce(c["container_no"], c["seal_no"], c["remark"]).isNotNull())
+    out = good.withColumns({
+        "containers": F.when(~unset, F.array_join(F.transform("containers", lambda c: shown(c, *item_parts)), ";")),
+        "factory": shown(F.col("factory"), "name", "address", "contact", "phone"),
+        "order_mapping": shown(F.col("order_mapping"), "c_sn", "mbl_no", "hbl_no", "c_title", "factory_name", "c_note"),
+        "source": shown(F.col("source"), "file", "doc_format", "template_hint", "extracted_at"),
+        "review_issues": F.array_join(F.transform("review_issues", lambda i: F.concat_ws(
+            "/", i["code"], i["field"], i["message"], F.array_join(i["source_values"], ","), i["blocking"].cast("string"))), ";"),
+        "violations": F.lit("")})
+    return out.unionByName(bad.select("doc_id", F.array_join("violations", "|").alias("violations")), allowMissingColumns=True)

@@ -166,9 +166,54 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("'箱型箱量'", "cast(q1 AS string) || ' x ' || type1"), ("'件数'", "packages || 'CTNS'"),
         ("'门点地址'", "region || ' ROAD 1'"), ("'unknown key'", "'x'"),
     )
+    return _entries(facts(spark, sf_dir), entries)
+
+
+def _entries(base: DataFrame, entries, *ids: str) -> DataFrame:
+    """Rows ``(doc_id, .., pos, key, value)`` of loose entries, given as expressions over the facts."""
     rows = F.array(*[F.struct(F.expr(key).alias("key"), F.expr(value).alias("value")) for key, value in entries])
-    return facts(spark, sf_dir).select(F.col("k").alias("doc_id"), F.posexplode(rows).alias("pos", "e")).select(
-        "doc_id", "pos", "e.key", "e.value")
+    keep = [F.col("k").alias("doc_id"), *[F.expr(x) for x in ids]]
+    return base.select(*keep, F.posexplode(rows).alias("pos", "e")).select(
+        *[c for c in ("doc_id", "idx") if c == "doc_id" or ids], "pos", "e.key", "e.value")
+
+
+#: What no candidate of ``answers`` has for some documents, and what is wrong with others.
+NO_ANSWER, BAD_NUMBER, BAD_ISSUES, REPAIRED = "k % 29 = 0", "k % 23 = 0", "k % 31 = 0", "k % 62 = 0"
+ITEMS, OWN_ISSUES = "k % 3 = 0", "k % 5 = 2"
+
+
+def answers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Whole answers to the notes, with container items, review issues and their repair, as ``candidate_records`` takes them.
+
+    Some notes have no answer, some an unreadable number or unreadable issues, half of these a repaired list.
+    """
+    base = facts(spark, sf_dir)
+    entries = (
+        ("'文档类型'", "'做箱通知'"), ("'提单号'", "CASE WHEN k % 4 = 1 THEN NULL ELSE bill END"), ("'船 名 航 次'", "vessel || '/V. ' || voyage"),
+        ("'船期'", "date_text"), ("'DATE'", "date_text"), ("'做箱日期'", "date_text || ' 8:30'"), ("'FM'", "title"), ("'customer'", "c_name"),
+        ("'开港时间'", "CASE WHEN k % 4 = 0 THEN iso_date END"),
+        ("'备注'", "CASE k % 6 WHEN 1 THEN region WHEN 5 THEN region || '；轻放' END"),
+        ("'箱型箱量'", "cast(q1 AS string) || ' x ' || type1"), ("'件数'", f"CASE WHEN {BAD_NUMBER} THEN '若干' ELSE packages || 'CTNS' END"),
+        ("'门点地址'", "CASE WHEN k % 17 = 0 THEN NULL ELSE region || ' ROAD 1' END"),
+    )
+    first = (("'毛重'", "weight || ' KGS'"), ("'体积'", "volume || 'CBM'"))
+    second = (("'箱型'", "type2"), ("'数量'", "'2'"), ("'件数'", "'7 PKGS'"), ("'毛重'", "'0'"), ("'PO号'", f"'PO' || {KEY8}"))
+    issue = (("'问题代码'", "'document_value_unclear'"), ("'field'", "'remark'"), ("'原因'", "'see ' || k"), ("'候选值'", """'["a", "b"]'"""), ("'blocking'", "'no'"))
+    invented = (("'code'", "'invented_code'"), ("'field'", "'vessel'"), ("'message'", "'x'"))
+    broken = (("'code'", "'document_value_unclear'"), ("'field'", "' '"), ("'message'", "'x'"))
+    repaired = (("'code'", "'document_value_unclear'"), ("'字段'", "'remark'"), ("'message'", "'repaired'"))
+    answered = base.filter(f"NOT ({NO_ANSWER})")
+
+    def listed(condition: str, *lists) -> DataFrame:
+        out = None
+        for i, one in enumerate(lists):
+            rows = _entries(answered.filter(condition), one, f"{i} AS idx")
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    issues = listed(OWN_ISSUES, issue, invented).unionByName(listed(BAD_ISSUES, broken).withColumn("idx", F.lit(2)))
+    return {"candidates": _entries(answered, entries), "item_rows": listed(ITEMS, first, second),
+            "issue_rows": issues, "repaired_rows": listed(REPAIRED, repaired)}
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
