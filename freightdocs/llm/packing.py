@@ -16,6 +16,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,8 @@ from freightdocs.llm.common import narrow, small_batches, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct words in one generation of a task's cache.
-CACHE = 400_000
+#: Distinct words in one generation of a Python worker's cache.
+CACHE = 500_000
 
 
 class Plan:
@@ -111,38 +112,55 @@ def split_word(word: str) -> tuple[str, ...]:
     return (low,) if len(core) == len(word) else (low, word[len(core):])
 
 
+class Words:
+    """Ids of words, as bytes, in a bounded cache of two generations that a Python worker keeps from task to task."""
+
+    def __init__(self, tokenizer: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(tokenizer)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, words: set[str]) -> dict[str, bytes]:
+        """A table that holds all of ``words``."""
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        parts = {w: split_word(w) for w in words.difference(young) if w not in old}
+        young.update((w, old[w]) for w in words if w in old and w not in young)
+        new = list({p for two in parts.values() for p in two if p not in young})
+        for k in range(0, len(new), 10_000):
+            own = new[k : k + 10_000]
+            young.update(zip(own, (array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(own, add_special_tokens=False)), strict=True))
+        young.update((w, b"".join(young[p] for p in two)) for w, two in parts.items() if len(two) > 1 or two[0] != w)
+        return young
+
+
+@lru_cache(maxsize=1)
+def words_of(tokenizer: str) -> Words:
+    return Words(tokenizer)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Tokenize and cut: one row per piece with its length, CRC and rank among the pieces of its length in this partition.
 
     A document is its ids and then ``END_ID``; only longer ones are cut. White space never joins two tokens of this
-    tokenizer, so each distinct word is encoded once for as long as it stays in a bounded cache of two generations.
+    tokenizer, so each distinct word is encoded once for as long as it stays in the cache of its worker.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        young: dict[str, bytes] = {}
-        old: dict[str, bytes] = {}
+        cache = words_of(tokenizer)
         rank: dict[int, int] = defaultdict(int)
         part, end = TaskContext.get().partitionId(), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows = []
             split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in b["text"]]
-            words = set().union(*split)
-            if len(young) > CACHE:
-                young, old = {}, young
-            parts = {w: split_word(w) for w in words.difference(young) if w not in old}
-            young.update((w, old[w]) for w in words if w in old and w not in young)
-            new = list({p for two in parts.values() for p in two if p not in young})
-            for k in range(0, len(new), 10_000):
-                own = new[k : k + 10_000]
-                young.update(zip(own, (array("I", e.ids).tobytes() for e in model.encode_batch(own, add_special_tokens=False)), strict=True))
-            young.update((w, b"".join(young[p] for p in two)) for w, two in parts.items())
+            ids = cache.of(set().union(*split))
             for doc, own in zip(b["doc_id"], split, strict=True):
-                data = b"".join(map(young.__getitem__, own)) + end
+                data = b"".join(map(ids.__getitem__, own)) + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     piece = data[at : at + 4 * capacity]
                     n = len(piece) // 4
