@@ -105,11 +105,13 @@ def split_word(word: str) -> tuple[str, ...]:
 
     The tokenizer ignores case, so words of ASCII letters are shared by their lower case.
     """
+    if word.isalpha():
+        return (word.lower() if word.isascii() else word,)
     core = word.rstrip(SIGNS)
     if not core.isalpha():
         return (word,)
     low = core.lower() if core.isascii() else core
-    return (low,) if len(core) == len(word) else (low, word[len(core):])
+    return low, word[len(core):]
 
 
 class Words:
@@ -128,8 +130,13 @@ class Words:
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        parts = {w: split_word(w) for w in words.difference(young) if w not in old}
-        young.update((w, old[w]) for w in words if w in old and w not in young)
+        parts = {}
+        for w in words.difference(young):
+            known = old.get(w)
+            if known is None:
+                parts[w] = split_word(w)
+            else:
+                young[w] = known
         new = list({p for two in parts.values() for p in two if p not in young})
         for k in range(0, len(new), 10_000):
             own = new[k : k + 10_000]
