@@ -8,7 +8,7 @@ from freightdocs import dictionaries as D
 from freightdocs.operators import audit, orders, triage
 from freightdocs.plans import extract
 from freightdocs.plans.catalog import keyed, register, values_sql, with_facts
-from freightdocs.session import read_table, working_dir
+from freightdocs.session import cut_lineage, read_table, working_dir
 from freightdocs.sources import corpus, documents, logs, requests
 from freightdocs.streaming import flows
 
@@ -37,12 +37,22 @@ def _(spark, sf):
 
 @register("src_1_binary_scan")
 def _(spark, sf):
-    # the given tables themselves, read as files: none has an accepted suffix
+    # the given tables themselves, read as files: none has an accepted suffix, and no content is asked for
     good, bad = documents.binary_documents(spark, sf, "*.parquet")
     return good.select("file", "n_bytes", F.lit(None).cast("string").alias("error_code")).unionByName(
         bad.select("file", "n_bytes", "error_code"))
 
 
+@register("src_1_accepted_files", f"""
+WITH {FILES_SQL} SELECT file, octet_length(encode(coalesce(text, ''))) AS n_bytes, sha256(coalesce(text, '')) AS content_sha256
+FROM files WHERE suffix NOT IN ('.txt', '')""")
+def _(spark, sf):
+    # documents written as files with accepted and other suffixes, and scanned
+    base = working_dir(spark, "files")
+    documents.write_documents(files(spark, sf).select("file", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), base)
+    return documents.accepted_documents(spark, base).select("file", "n_bytes", F.sha2("content", 256).alias("content_sha256"))
+
+
 @register("src_2_text_corpus", f"""
 WITH {FILES_SQL} SELECT doc_id, length(file || chr(10) || text) AS chars, sha256(file || chr(10) || text) AS route_sha FROM files""")
 def _(spark, sf):
@@ -268,8 +278,8 @@ def _(spark, sf):
     # "now" is the newest entry, so that old test data keeps something
     base, entries = working_dir(spark, "retention"), corpus.request_log(spark, sf)
     logs.append_log(entries.withColumn("request_id", F.col("seq").cast("string")).drop("seq"), f"{base}/log")
-    logs.rewrite_retained(spark, f"{base}/log", f"{base}/kept", entries.agg(F.date_trunc("millisecond", F.max("ts"))).scalar(), 24)
-    return logs.read_log(spark, f"{base}/kept").select(F.col("request_id").cast("bigint").alias("seq"), "ts")
+    logs.rewrite_retained(spark, f"{base}/log", entries.agg(F.date_trunc("millisecond", F.max("ts"))).scalar(), 24)
+    return logs.read_log(spark, f"{base}/log").select(F.col("request_id").cast("bigint").alias("seq"), "ts")
 
 
 @register("snk_3_order_payloads", with_facts(f"""
@@ -315,6 +325,57 @@ def _(spark, sf):
                                      F.count_if(F.col("error_code") == "order_not_ready").alias("rejected"))
 
 
+@register("str_1_answered_once", with_facts(f"""
+SELECT room AS "roomId", CASE WHEN bill IS NOT NULL AND ({TITLE}) IS NOT NULL THEN
+    '{{"apiKeyInfo":{{"ext_app_id":"","ext_user_id":"","jxt_open_id":""}},"data":' || replace({PAYLOAD_SQL}, '"c_id":"C1"', '"c_id":""') || ',"userId":"","roomId":"' || room || '"}}' END AS payload,
+  concat_ws('|', CASE WHEN bill IS NULL THEN 'order_num1' END, CASE WHEN ({TITLE}) IS NULL THEN 'c_title' END) AS missing_fields,
+  CASE WHEN bill IS NULL OR ({TITLE}) IS NULL THEN 'order_not_ready' END AS error_code FROM f"""))
+def _(spark, sf):
+    # the stream is stopped and started again; the second delivery holds requests of the first one, and some of its own twice
+    base, texts = working_dir(spark, "orders"), corpus.order_texts(spark, sf)
+    line = F.to_json(F.struct("content", "roomId")).alias("value")
+    texts.filter("doc_id % 2 = 0").select(line).write.mode("append").text(f"{base}/in")
+    flows.stream_orders(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
+    again = texts.filter("doc_id % 2 = 1 OR doc_id % 4 = 0").unionByName(texts.filter("doc_id % 6 = 1"))
+    again.select(line).write.mode("append").text(f"{base}/in")
+    for _ in range(2):  # the last start finds nothing new
+        flows.stream_orders(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.schema(flows.ORDER_OUTPUT).parquet(f"{base}/out")
+
+
+ROUNDS = 3
+
+
+@register("str_2_refreshed_pages", f"""
+WITH {LOG_SQL}, cut AS (SELECT seq, path, status, ntile({ROUNDS}) OVER (ORDER BY seq) - 1 AS part FROM log WHERE path <> '/api/logs')
+SELECT round, seq, path, CAST(status AS BIGINT) AS status FROM cut, (SELECT unnest(range({ROUNDS})) AS round) r
+WHERE part <= round QUALIFY row_number() OVER (PARTITION BY round ORDER BY seq DESC) <= 50""")
+def _(spark, sf):
+    # a running stream takes in what is appended, and a second one goes on from its checkpoint; the newest page after each part
+    base = working_dir(spark, "log-refresh")
+    entries = corpus.request_log(spark, sf).filter("path <> '/api/logs'").withColumn("request_id", F.col("seq").cast("string"))
+    cuts = entries.stat.approxQuantile("seq", [k / ROUNDS for k in range(1, ROUNDS)], 0.0)
+    out, query = None, None
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = entries.filter((F.lit(True) if low is None else F.col("seq") > low) & (F.lit(True) if high is None else F.col("seq") <= high))
+        newest = part.orderBy(F.desc("seq")).limit(200)  # the end of the part, in a file of its own that is the last one
+        edge = newest.agg(F.min("seq")).first()[0]
+        line = F.to_json(F.struct(*[c for c in entries.columns if c != "seq"])).alias("value")
+        part.filter(F.col("seq") < edge).select(line).write.mode("append").text(f"{base}/in")
+        newest.coalesce(1).sortWithinPartitions("seq").select(line).write.mode("append").text(f"{base}/in")
+        if query is None:
+            query = flows.stream_log(spark, f"{base}/in", f"{base}/out", f"{base}/state", once=False, refresh="1 second")
+        query.processAllAvailable()
+        items, _ = audit.page(flows.search_table(spark, f"{base}/out"), limit=50)
+        page = cut_lineage(items.select(F.lit(k).alias("round"), F.col("request_id").cast("bigint").alias("seq"), "path", "status"), "page")
+        out = page if out is None else out.unionByName(page)
+        if k == ROUNDS - 2:
+            query.stop()
+            query = None
+    query.stop()
+    return out
+
+
 def streamed_log(spark, sf):
     """The search table that the stream makes from a log, written in ranges of entries, whose file names have their order."""
     base = working_dir(spark, "log-stream")

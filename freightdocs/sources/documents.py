@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freightdocs import dictionaries as D
 from freightdocs.operators import routing, triage
 
 
@@ -12,6 +13,33 @@ def file_name(path):
     return F.element_at(F.split(path, "/"), -1)
 
 
+def accepted_glob() -> str:
+    """File names with an accepted suffix, in either case."""
+    def either(suffix: str) -> str:
+        return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    return "*{" + ",".join(either(s) for s in D.ACCEPTED_SUFFIXES) + "}"
+
+
+def accepted_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Only the files with an accepted suffix: the others are left out while the folder is listed and never opened."""
+    return binary_documents(spark, path, accepted_glob())[0]
+
+
+def write_documents(df: DataFrame, path: str) -> None:
+    """Contents ``(file, content)`` as files below a folder of any file system that Arrow knows; a task writes its rows one by one."""
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        store.create_dir(root)
+        for b in batches:
+            for file, content in zip(b.column("file").to_pylist(), b.column("content").to_pylist(), strict=True):
+                with store.open_output_stream(f"{root}/{file}") as out:
+                    out.write(content)
+            yield b.select(["file"])
+    df.select("file", "content").mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
+
+
 def binary_documents(spark: SparkSession, path: str, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Files below a folder as (accepted, rejected) rows; content is read only where it is used."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightdocs.schemas import LOG_FIELDS
+from freightdocs.session import cut_lineage
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -46,10 +49,36 @@ def retained(df: DataFrame, now: Column, keep_hours: int) -> DataFrame:
     return out.filter(F.col("log_date") >= F.to_date(limit)) if "log_date" in df.columns else out
 
 
-def rewrite_retained(spark: SparkSession, path: str, out: str, now: Column, keep_hours: int) -> None:
-    """SNK-2 on a written log: the kept entries as a new log folder; whole dates before the limit are not read."""
-    kept = retained(spark.read.schema(f"{LOG_FIELDS}, log_date date").json(path), now, keep_hours)
-    kept.write.mode("overwrite").partitionBy("log_date").json(out)
+def rewrite_retained(spark: SparkSession, path: str, now: Column, keep_hours: int) -> dict[str, int]:
+    """SNK-2 on a written log, in place: whole dates before the limit go, the date that the limit cuts is written anew.
+
+    Files of later dates are not touched, or even read. The border date is replaced by a dynamic
+    partition overwrite, whose job commits before the old files go, and its kept rows are written aside first, since a job must not
+    read what it replaces. Dates come from the folders, one for each day of the log. Returns how many dates were dropped
+    and rewritten.
+    """
+    limit = keep_since(now, keep_hours)
+    border = spark.range(1).select(F.to_date(limit).alias("day"), F.unix_micros(limit).alias("at")).first()
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    dropped = rewritten = 0
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if not name.startswith("log_date=") or name.endswith("__HIVE_DEFAULT_PARTITION__"):
+            continue
+        day = date.fromisoformat(name.removeprefix("log_date="))
+        if day < border.day:
+            files.delete(status.getPath(), True)
+            dropped += 1
+        elif day == border.day:
+            own = spark.read.schema(LOG_FIELDS).json(status.getPath().toString())
+            kept = cut_lineage(own.filter(F.col("ts") >= F.timestamp_micros(F.lit(border["at"]))).withColumn("log_date", F.lit(day)), "log-border")
+            if kept.isEmpty():
+                files.delete(status.getPath(), True)
+            else:
+                kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_date").json(path)
+            rewritten += 1
+    return {"dropped": dropped, "rewritten": rewritten}
 
 
 def export_all(df: DataFrame) -> DataFrame:
