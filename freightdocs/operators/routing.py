@@ -103,7 +103,7 @@ def request_text(text: Column, file: Column, doc_format: Column, extracted_at: C
 
 
 def locked_note(values_json: Column) -> Column:
-    """Locked values attached to a request (fixed values: the sentence before them)."""
+    """Locked values attached to a request (fixed values: the sentence before them); null where nothing is locked."""
     return F.concat(F.lit(
         "以下 JSON 字段已经由高置信模板确定性映射锁定。只补充其中未覆盖的字段，不得改写锁定值；"
         "若原文看似冲突，保留锁定值并写入 blocking review_issues：\n"), values_json)

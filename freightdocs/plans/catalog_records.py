@@ -353,6 +353,30 @@ def _(spark, sf):
     return df.select("doc_id", routing.example_name(F.col("doc_type"), F.col("template")).alias("example"), F.sha2(text, 256).alias("request"))
 
 
+BOOKED = "(k % 5 <> 0 OR k % 3 = 0)"
+NOTE_BEFORE = "以下 JSON 字段已经由高置信模板确定性映射锁定。只补充其中未覆盖的字段，不得改写锁定值；若原文看似冲突，保留锁定值并写入 blocking review_issues："
+
+
+@register("rte_11_locked_booking", with_facts(f"""
+SELECT k AS doc_id, CASE WHEN {BOOKED} THEN '{NOTE_BEFORE}' || chr(10) || '{{"carrier":"' || nation || '","etd":"' || iso_date || '","transit_port":"' || region || '"'
+  || CASE WHEN k % 5 = 0 THEN '' ELSE ',"remark":"MON"' END || '}}' END AS locked FROM f"""))
+def _(spark, sf):
+    # requests with and without a template
+    df = mapping.with_template(booking_notes(spark, sf))
+    return df.select("doc_id", routing.locked_note(mapping.locked_json(F.col("booking"), F.col("transport"))).alias("locked"))
+
+
+@register("rte_11_locked_transport", with_facts(f"""
+SELECT k AS doc_id, CASE WHEN {MAPPED} THEN bill END AS mbl_no, CASE WHEN {MAPPED} THEN nation END AS contact, CASE WHEN {MAPPED} THEN 'TRANSPORT_ORDER' END AS doc_type,
+  CASE WHEN {MAPPED} THEN iso_date END AS doc_date, CASE WHEN {MAPPED} THEN '2' END AS qty, CASE WHEN {MAPPED} THEN
+    'doc_type|internal_ref|mbl_no|vessel|voyage|pol|pod|terminal|etd|transit_port|containers|factory|shipper_company|shipper_agent|recipient|doc_date|loading_time' END AS keys FROM f"""))
+def _(spark, sf):
+    df = mapping.with_template(transport_notes(spark, sf))
+    own = df.select("doc_id", mapping.locked_json(F.col("booking"), F.col("transport")).alias("j"))
+    parts = {"mbl_no": "$.mbl_no", "contact": "$.factory.contact", "doc_type": "$.doc_type", "doc_date": "$.doc_date", "qty": "$.containers[0].qty"}
+    return own.select("doc_id", *[F.get_json_object("j", path).alias(n) for n, path in parts.items()], F.array_join(F.json_object_keys("j"), "|").alias("keys"))
+
+
 # ------------------------------------------------------------------ issues
 CODES = ("missing_mbl_no", "unknown_container_type", "carrier_by_mbl", "invented_code", "missing_loading_time")
 ISSUE_SQL = """
