@@ -1,23 +1,24 @@
 """Line dedup on content-defined chunks of lines.
 
-A text's lines are hashed, and a rolling hash over the last ``WINDOW`` line hashes decides whether a chunk ends after a line
-(one in ``SPREAD`` does, and none before ``MIN_LINES`` lines). So an inserted or removed line moves no boundary further than
-the next one or two, and a passage is cut alike wherever it stands. Chunks with two or more lines that hold a word are
-grouped over the whole corpus by a 128-bit digest; those that occur again are compared byte by byte with the first
-occurrence (smallest id, then place), and cut out where the bytes are equal.
-
-Such chunks find a short repeated block only if it happens to hold two borders. With ``line_pairs`` every two neighbouring
-lines that hold a word are a chunk of their own, so that all repeated runs of two or more lines go, whatever is around them.
+A text's lines are hashed, and a rolling hash over the line hashes is the key of every two neighbouring lines that hold a word
+(``line_pairs``). Over the whole corpus each key gets its first occurrence (smallest id, then text hash, then place). A chunk
+is a longest run of such windows that stood before in the same order in one document: it begins and ends where the rolling
+hash stops to occur again, or goes on elsewhere. So boundaries depend on lines alone, move with them, and no repeated run of
+two or more lines is missed. A chunk is compared byte by byte, as a whole, with the lines of its first occurrence, and cut out
+where the bytes are equal.
+
+``chunks`` are the coarser form: boundaries are lines where the rolling hash over ``WINDOW`` line hashes is divisible by
+``SPREAD``, at least ``MIN_LINES`` apart. They take fewer keys, and miss short repeated blocks without two borders.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freightdocs.llm.common import mixed, narrow, small_batches, word_codes, written
@@ -25,6 +26,10 @@ from freightdocs.llm.common import mixed, narrow, small_batches, word_codes, wri
 WINDOW = 2
 SPREAD = 4
 MIN_LINES = 2
+#: Factor and width of the rolling hash; odd, so that no line hash loses bits.
+ROLL, LOW = 0x9E3779B97F4A7C15F39CC0605CEDC835, 2**128 - 1
+#: Bytes of chunks that one Arrow batch of them may hold, beyond its first row.
+BATCH_BYTES = 1 << 24
 
 
 def boundaries(lines: list[bytes], spread: int = SPREAD) -> list[int]:
@@ -44,22 +49,35 @@ def boundaries(lines: list[bytes], spread: int = SPREAD) -> list[int]:
     return ends
 
 
-def chunks(text: str) -> list[tuple[int, int, bytes]]:
-    """``(first line, end line, bytes)`` of the chunks with at least two lines that hold a word."""
+def _rolled(codes: list[int], start: int, end: int) -> bytes:
+    """128-bit rolling hash of the line hashes ``start`` to ``end``."""
+    roll = 0
+    for x in codes[start:end]:
+        roll = (roll * ROLL + x) & LOW
+    return roll.to_bytes(16, "little")
+
+
+def _coded(text: str) -> tuple[list[bytes], list[int]]:
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    return lines, [xxhash.xxh3_128_intdigest(x) for x in lines]
+
+
+def chunks(text: str) -> list[tuple[int, int, bytes]]:
+    """``(first line, end line, key)`` of the chunks with at least two lines that hold a word."""
+    lines, codes = _coded(text)
     out, start = [], 0
     for end in boundaries(lines):
         if end - start >= 2 and sum(bool(x.strip()) for x in lines[start:end]) >= 2:
-            out.append((start, end, b"\n".join(lines[start:end])))
+            out.append((start, end, _rolled(codes, start, end)))
         start = end
     return out
 
 
 def line_pairs(text: str) -> list[tuple[int, int, bytes]]:
-    """``(first line, end line, bytes)`` of every two neighbouring lines that hold a word, with the blank lines between them."""
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    """``(first line, end line, key)`` of every two neighbouring lines that hold a word, with the blank lines between them."""
+    lines, codes = _coded(text)
     at = [k for k, x in enumerate(lines) if x.strip()]
-    return [(s, e + 1, b"\n".join(lines[s : e + 1])) for s, e in zip(at, at[1:])]
+    return [(s, e + 1, _rolled(codes, s, e + 1)) for s, e in zip(at, at[1:])]
 
 
 Cutter = Callable[[str], list[tuple[int, int, bytes]]]
@@ -70,10 +88,11 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "__row_tag": F.xxhash64("text")})
 
 
-def repeated_chunks(docs: DataFrame, cutter: Cutter = chunks) -> DataFrame:
+def repeated_chunks(docs: DataFrame, cutter: Cutter = line_pairs) -> DataFrame:
     """``__row_id, __row_tag, start, end`` of every chunk whose bytes occurred before, in another document or higher up in the same.
 
-    A chunk that shares lines with the first occurrence itself is none.
+    A window that shares lines with the first occurrence itself is none. Windows that overlap and whose first occurrences
+    overlap alike, one after the other in one document, are one chunk.
     """
     small_batches(docs.sparkSession)
     texts = _tagged(narrow(docs, "doc_id", "text")).select("__row_id", "__row_tag", "text").filter("text IS NOT NULL")
@@ -81,37 +100,57 @@ def repeated_chunks(docs: DataFrame, cutter: Cutter = chunks) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame(
-                [(i, t, s, e, hashlib.blake2b(x, digest_size=16).digest())
-                 for i, t, text in zip(b["__row_id"], b["__row_tag"], b["text"], strict=True) for s, e, x in cutter(text)],
-                columns=["__row_id", "__row_tag", "start", "end", "digest"])
-
-    found = written(texts.mapInPandas(cut, "__row_id long, __row_tag long, start int, end int, digest binary"), "line-chunks")
-    place = F.struct("__row_id", "__row_tag", "start", "end")
-    again = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    places = written(found.join(again.select("digest", "first"), "digest").select(
-        "digest", *[F.col(c) for c in ("__row_id", "__row_tag", "start", "end")], place.eqNullSafe(F.col("first")).alias("is_first"),
-        ((F.col("__row_id") == F.col("first.__row_id")) & (F.col("__row_tag") == F.col("first.__row_tag"))
-         & (F.col("start") < F.col("first.end"))).alias("shares")).filter("is_first OR NOT shares").drop("shares").distinct(), "line-repeats")
-
-    # bytes of those chunks alone; one list for each document, no longer than the document
-    per_doc = places.groupBy("__row_id", "__row_tag").agg(F.collect_list(F.struct("start", "end", "digest", "is_first")).alias("at"))
+                [(i, t, k, s, e, key) for i, t, text in zip(b["__row_id"], b["__row_tag"], b["text"], strict=True)
+                 for k, (s, e, key) in enumerate(cutter(text))],
+                columns=["__row_id", "__row_tag", "no", "start", "end", "key"])
+
+    found = written(texts.mapInPandas(cut, "__row_id long, __row_tag long, no int, start int, end int, key binary"), "line-windows")
+    place = F.struct("__row_id", "__row_tag", "no", "start", "end")
+    again = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    later = found.join(again.select("key", "first"), "key").drop("key").filter(~place.eqNullSafe(F.col("first")) & ~(
+        (F.col("__row_id") == F.col("first.__row_id")) & (F.col("__row_tag") == F.col("first.__row_tag"))
+        & (F.col("start") < F.col("first.end")))).distinct()
+
+    # a chunk goes on while both sides go on: windows of one document only, in their order
+    doc = ["__row_id", "__row_tag"]
+    ordered = Window.partitionBy(*doc).orderBy("no")
+    before = F.lag(F.struct("no", "end", "first")).over(ordered)
+    goes_on = ((F.col("before.no") + 1 == F.col("no")) & (F.col("start") < F.col("before.end"))
+               & (F.col("before.first.__row_id") == F.col("first.__row_id")) & (F.col("before.first.__row_tag") == F.col("first.__row_tag"))
+               & (F.col("before.first.no") + 1 == F.col("first.no")))
+    numbered = later.withColumn("before", before).withColumn("chunk", F.sum(F.when(goes_on, 0).otherwise(1)).over(ordered))
+    source = F.struct(F.min("first.__row_id").alias("id"), F.min("first.__row_tag").alias("tag"), F.min("first.start").alias("start"), F.max("first.end").alias("end"))
+    runs = written(numbered.groupBy(*doc, "chunk").agg(F.min("start").alias("start"), F.max("end").alias("end"), source.alias("source")).drop("chunk"), "line-runs")
+
+    # bytes of the chunks and of the places they are compared with; all of them together are no longer than the documents
+    firsts = runs.select(F.col("source.id").alias("__row_id"), F.col("source.tag").alias("__row_tag"), F.col("source.start").alias("start"),
+                         F.col("source.end").alias("end"), "source").distinct().withColumn("is_first", F.lit(True))
+    wanted = runs.withColumn("is_first", F.lit(False)).unionByName(firsts)
+    per_doc = wanted.groupBy(*doc).agg(F.collect_list(F.struct("start", "end", "source", "is_first")).alias("at"))
+    columns = ["__row_id", "__row_tag", "start", "end", "id", "tag", "from", "to", "is_first", "body"]
 
     def bytes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows, size = [], 0
             for i, t, text, at in zip(b["__row_id"], b["__row_tag"], b["text"], b["at"], strict=True):
                 lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-                rows += [(i, t, x["start"], x["end"], x["digest"], x["is_first"], b"\n".join(lines[x["start"] : x["end"]])) for x in at]
-            yield pd.DataFrame(rows, columns=["__row_id", "__row_tag", "start", "end", "digest", "is_first", "body"])
-
-    bodies = written(texts.join(per_doc, ["__row_id", "__row_tag"]).mapInPandas(
-        bytes_of, "__row_id long, __row_tag long, start int, end int, digest binary, is_first boolean, body binary"), "line-bodies")
-    firsts = bodies.filter("is_first").groupBy("digest").agg(F.min("body").alias("first_body"))
-    later = bodies.filter("NOT is_first").join(firsts, "digest").filter("body = first_body")
-    return later.select("__row_id", "__row_tag", "start", "end").distinct()
-
-
-def deduplicated(docs: DataFrame, cutter: Cutter = chunks) -> DataFrame:
+                for x in at:
+                    body, source = b"\n".join(lines[x["start"] : x["end"]]), x["source"]
+                    rows.append((i, t, x["start"], x["end"], source["id"], source["tag"], source["start"], source["end"], x["is_first"], body))
+                    size += len(body)
+                    if size > BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+            yield pd.DataFrame(rows, columns=columns)
+
+    bodies = written(texts.join(per_doc, doc).mapInPandas(
+        bytes_of, "__row_id long, __row_tag long, start int, end int, id long, tag long, from int, to int, is_first boolean, body binary"), "line-bodies")
+    key = ["id", "tag", "from", "to"]
+    first_bodies = bodies.filter("is_first").groupBy(*key).agg(F.min("body").alias("first_body"))
+    return bodies.filter("NOT is_first").join(first_bodies, key).filter("body = first_body").select(*doc, "start", "end").distinct()
+
+
+def deduplicated(docs: DataFrame, cutter: Cutter = line_pairs) -> DataFrame:
     """All columns of ``docs``, with ``text`` cut, and ``n_lines, cut_lines, cut_chunks`` (long).
 
     The first occurrence of a chunk stays: the one with the smallest id (a null id comes first), then text hash, then place.

@@ -227,7 +227,7 @@ def cut_lines(texts):
 def test_line_dedup(spark):
     for frame in (table(spark), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
         texts = [tuple(r) for r in frame.select("doc_id", F.xxhash64("text"), "text").collect()]
-        found = line_chunks.deduplicated(frame)
+        found = line_chunks.deduplicated(frame, line_chunks.chunks)
         assert counted(found.select("doc_id", "text").collect(), ("doc_id", "text")) == cut_lines(texts)
     assert found.filter("cut_chunks > 0").count() > 0
     few = line_chunks.deduplicated(table(spark))

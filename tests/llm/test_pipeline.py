@@ -5,7 +5,8 @@ from collections import Counter
 import pytest
 from fixtures import empty, table
 from pyspark.sql import functions as F
-from test_contracts import check_packing, cut_lines, groups, packed, rules, spans
+from test_contracts import check_packing, groups, packed, rules, spans
+from test_line_runs import without_runs
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -30,7 +31,7 @@ def test_quality(spark, steps):
 
 
 def test_lines(steps):
-    want = cut_lines([tuple(r) for r in steps[1].select("doc_id", F.xxhash64("text"), "text").collect()])
+    want = without_runs([tuple(r) for r in steps[1].select("doc_id", F.xxhash64("text"), "text").collect()])
     assert Counter((r.doc_id, r.text) for r in steps[2].collect()) == Counter({(i, t): n for (i, t), n in want.items() if t.split()})
     assert all(r.n_chars == len(r.text) for r in steps[2].collect())
 
