@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts chunks of lines that occurred before; a document goes only if nothing but blanks is left of it by that."""
+    """Cuts all runs of two or more lines that occurred before; a document goes only if nothing but blanks is left of it by that."""
     found = line_chunks.deduplicated(docs)
     kept = found.filter((F.col("cut_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return counted(kept.select(*docs.columns))
