@@ -1,16 +1,20 @@
-"""License scan by a positional index of the licence words. Column expressions and joins only.
+"""License scan by a positional index of rare licence words. Column expressions and joins only.
 
-The index holds all words of each template with their positions. An accepted place contains its mandatory phrase, so the words
-of a text that stand within a template's length of such a phrase give votes ``(template, place in text - place in template)``:
-one for each place that agrees. An offset is a candidate if at least ``SHARE`` of its places agree, whichever words they are;
-it is accepted if the mandatory phrase stands among the words of the text from there. Texts that lack a word of every
-mandatory phrase cannot hold a licence and do not vote. What one text gets does not depend on the others.
+The index posts every word of each template with its places and its rank by inverse document frequency over the whole corpus.
+Each file looks up its own rarest words: of a template with ``n`` words an accepted place agrees in at least ``need`` of them,
+all of which stand in the file; so of the ``c`` places whose word the file holds, the ``c - need + PAIR`` rarest are looked up,
+and at least ``PAIR`` of those agree at every accepted place. Their postings are intersected by relative position (place in
+text - place in template); offsets on which ``PAIR`` meet are candidates. Last, the wording and the mandatory phrase of each
+candidate are verified on the file's words. A file with fewer than ``need`` places of every template looks nothing up. Document
+frequencies only choose which words are looked up, never what is accepted: the result of one text does not depend on the others.
 
 The three base phrases are counted besides, wherever their words follow each other.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,14 +48,27 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "attribution sharealike"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "commons attribution 4 0"),
 )
-#: The share of equal places that an offset needs, and the words of the longest template.
-SHARE, REACH = 0.6, max(len(t.split()) for _, t, _ in TEMPLATES)
+#: The share of equal places that an offset needs, and how many looked-up words have to meet on it.
+SHARE, PAIR = 0.6, 2
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def index() -> list[tuple[int, int, int, str]]:
-    """``(template, its words, place, word)`` for all words of each template."""
-    return [(k, len(words), i, w) for k, (_, t, _) in enumerate(TEMPLATES) for words in (t.split(),) for i, w in enumerate(words)]
+def need(template: str) -> int:
+    """Agreeing words that an accepted place has at least."""
+    return ceil(len(template.split()) * SHARE - 1e-9)
+
+
+def vocabulary() -> list[str]:
+    return sorted({w for _, t, _ in TEMPLATES for w in t.split()})
+
+
+def index(frequency: dict[str, int]) -> list[tuple[int, int, int, str]]:
+    """``(template, rank, place, word)`` for all words of each template; rank 1 has the highest IDF, ties go to the first place."""
+    out = []
+    for k, (_, t, _) in enumerate(TEMPLATES):
+        rare = sorted(enumerate(t.split()), key=lambda x: (frequency.get(x[1], 0), x[0]))
+        out += [(k, r, place, word) for r, (place, word) in enumerate(rare, 1)]
+    return out
 
 
 def license_words(text: Column) -> Column:
@@ -73,47 +90,60 @@ def phrase_places(words: Column, phrase: str) -> Column:
         .otherwise(F.array().cast("array<int>"))
 
 
+def _held(mine: Column, words: list[str]) -> Column:
+    """Those of ``words``, repeats included, that are among the distinct words ``mine``."""
+    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.array_contains(mine, w))
+
+
 def _scanned(docs: DataFrame) -> DataFrame:
-    """``doc_id, _id, _tag, n_words, base, own``: base places with labels, and the words of texts that hold all words of a mandatory phrase."""
-    phrases = sorted({p for *_, p in TEMPLATES})
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for p in phrases for w in p.split()})])
-    needed = F.array(*[F.array(*[F.lit(w) for w in p.split()]) for p in phrases])
+    """``doc_id, _id, _tag, n_words, base, mine, own``: base places with labels, the distinct licence words, and all words of texts
+    that hold enough of them for some template."""
+    known = F.array(*[F.lit(w) for w in vocabulary()])
     place = "array<struct<at:int,label:string>>"
 
+    def enough(mine: Column) -> Column:
+        out = F.lit(False)
+        for _, t, _ in TEMPLATES:
+            out = out | (F.size(_held(mine, t.split())) >= need(t))
+        return out & (F.size(mine) >= min(need(t) for _, t, _ in TEMPLATES) - 1)
+
     def read(words: Column) -> Column:
         base = F.flatten(F.array(*[_labelled(phrase_places(words, p), label) for label, p in PHRASES])).cast(place)
         return F.struct(F.size(words).cast("long").alias("n_words"),
                         F.when(F.array_contains(words, "license"), base).otherwise(F.array().cast(place)).alias("base"),
-                        F.when(let(F.array_intersect(words, vocabulary), lambda mine: F.exists(
-                            needed, lambda p: F.size(F.array_except(p, mine)) == 0)), words).alias("own"))
+                        let(F.array_intersect(known, words), lambda mine: F.struct(
+                            mine.alias("mine"), F.when(enough(mine), words).alias("own"))).alias("found"))
 
     rows = narrow(docs, "doc_id", "text").select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("_id"), F.xxhash64("text").alias("_tag"),
         let(license_words(F.col("text")), read).alias("s"))
-    return written(rows.select("doc_id", "_id", "_tag", "s.*"), "license-rows")
+    return written(rows.select("doc_id", "_id", "_tag", "s.n_words", "s.base", "s.found.*"), "license-rows")
 
 
 def _labelled(places: Column, label: str) -> Column:
     return F.transform(places, lambda i: F.struct(i.cast("int").alias("at"), F.lit(label).alias("label")))
 
 
-def _around_phrases(words: Column) -> Column:
-    """``array<struct<at, word>>``: the words within ``REACH`` of a place of a mandatory phrase."""
-    def near(line: Column) -> Column:
-        spots = F.flatten(F.array(*[F.when(line.contains(f" {p} "), phrase_places(words, p)).otherwise(F.array().cast("array<int>"))
-                                    for p in sorted({p for *_, p in TEMPLATES})]))
-        places = F.transform(spots, lambda p: F.sequence(F.greatest(p - REACH, F.lit(0)), F.least(p + REACH, F.size(words) - 1)))
-        return F.transform(F.array_distinct(F.flatten(places)), lambda i: F.struct(i.alias("at"), F.get(words, i).alias("word")))
-    return let(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), near)
+def _cutoffs(mine: Column, posted: list[tuple[int, int, int, str]]) -> Column:
+    """For each template the rank of the last word that a file with the words ``mine`` looks up; 0 for none."""
+    def cutoff(k: int, least: int) -> Column:
+        ranked = F.array(*[F.lit(w) for template, _, _, w in posted if template == k])
+        ranks = F.filter(F.transform(ranked, lambda w, i: F.when(F.array_contains(mine, w), i + 1)), lambda r: r.isNotNull())
+        return let(ranks, lambda r: F.when(F.size(r) >= least, F.get(r, F.size(r) - least + PAIR - 1)).otherwise(F.lit(0)))
+
+    return F.array(*[cutoff(k, need(t)) for k, (_, t, _) in enumerate(TEMPLATES)])
 
 
 def _accepted(rows: DataFrame) -> DataFrame:
     """``_id, _tag, accepted``: label and share of each candidate offset that holds."""
-    table = F.broadcast(rows.sparkSession.createDataFrame(index(), "template int, words int, place int, word string"))  # the templates' words
-    texts = rows.filter("own IS NOT NULL").select("_id", "_tag", "own")
-    votes = texts.select("_id", "_tag", F.explode(_around_phrases(F.col("own"))).alias("x")).select("_id", "_tag", "x.*").join(table, "word")
-    offsets = votes.groupBy("_id", "_tag", "template", "words", (F.col("at") - F.col("place")).alias("offset")) \
-        .agg(F.countDistinct("place").alias("n")).filter(F.col("n") / F.col("words") >= SHARE)
+    # one count for each word of the templates, whatever the corpus
+    frequency = {r.word: r["count"] for r in rows.select(F.explode("mine").alias("word")).groupBy("word").count().collect()}
+    posted = index(frequency)
+    table = F.broadcast(rows.sparkSession.createDataFrame(posted, "template int, rank int, place int, word string"))  # the templates' words
+    texts = rows.filter("own IS NOT NULL").select("_id", "_tag", "own", "mine")
+    lookups = texts.select("_id", "_tag", F.posexplode("own").alias("at", "word"), _cutoffs(F.col("mine"), posted).alias("cutoffs"))
+    votes = lookups.filter(F.col("word").isin(*vocabulary())).join(table, "word").filter(F.col("rank") <= F.get("cutoffs", F.col("template")))
+    offsets = votes.groupBy("_id", "_tag", "template", (F.col("at") - F.col("place")).alias("offset")).count().filter(F.col("count") >= PAIR)
     per_text = offsets.groupBy("_id", "_tag").agg(F.collect_list(F.struct("template", "offset")).alias("at"))
 
     wording = F.array(*[F.struct(F.lit(label).alias("label"), F.split(F.lit(t), " ").alias("words"), F.lit(f" {p} ").alias("phrase"))
@@ -129,7 +159,7 @@ def _accepted(rows: DataFrame) -> DataFrame:
                             F.concat(F.lit(" "), F.array_join(part, " "), F.lit(" ")).contains(t["phrase"]).alias("phrase"))
         return let(F.get(wording, c["template"]), of)
 
-    held = texts.join(per_text, ["_id", "_tag"]).select("_id", "_tag", F.filter(
+    held = texts.drop("mine").join(per_text, ["_id", "_tag"]).select("_id", "_tag", F.filter(
         F.transform("at", judged), lambda j: j["phrase"] & (j["share"] >= SHARE)).alias("accepted"))
     return held.filter(F.size("accepted") > 0).groupBy("_id", "_tag").agg(F.first("accepted").alias("accepted"))
 
@@ -142,7 +172,7 @@ def scan(docs: DataFrame) -> DataFrame:
     alike. An empty table gives an empty table; other columns are left out.
     """
     rows = _scanned(docs)
-    return rows.drop("own").join(_accepted(rows), ["_id", "_tag"], "left").select("doc_id", "n_words", "base", "accepted")
+    return rows.drop("own", "mine").join(_accepted(rows), ["_id", "_tag"], "left").select("doc_id", "n_words", "base", "accepted")
 
 
 def digest(found: DataFrame) -> DataFrame:
