@@ -141,7 +141,9 @@ def _accepted(rows: DataFrame) -> DataFrame:
     posted = index(frequency)
     table = F.broadcast(rows.sparkSession.createDataFrame(posted, "template int, rank int, place int, word string"))  # the templates' words
     texts = rows.filter("own IS NOT NULL").select("_id", "_tag", "own", "mine")
-    lookups = texts.select("_id", "_tag", F.posexplode("own").alias("at", "word"), _cutoffs(F.col("mine"), posted).alias("cutoffs"))
+    # the cutoffs stand below the generator: once for each text, not for each word
+    cut = texts.select("_id", "_tag", "own", _cutoffs(F.col("mine"), posted).alias("cutoffs"))
+    lookups = cut.select("_id", "_tag", F.posexplode("own").alias("at", "word"), "cutoffs")
     votes = lookups.filter(F.col("word").isin(*vocabulary())).join(table, "word").filter(F.col("rank") <= F.get("cutoffs", F.col("template")))
     offsets = votes.groupBy("_id", "_tag", "template", (F.col("at") - F.col("place")).alias("offset")).count().filter(F.col("count") >= PAIR)
     per_text = offsets.groupBy("_id", "_tag").agg(F.collect_list(F.struct("template", "offset")).alias("at"))
