@@ -7,7 +7,7 @@ so one huge sheet is spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freightdocs import dictionaries as D
@@ -254,7 +254,10 @@ def section_lines(df: DataFrame) -> DataFrame:
     ).otherwise(lines(F.concat(F.lit("### Image "), number, F.lit(": "), "file"), F.concat(
         F.lit("_source: "), "part", F.lit("#"), "relation", F.lit("; content is routed separately for image verification_")), ""))
     title = F.when(kind == "story", F.concat(F.lit("## Story: "), "part")).when(kind == "text_box", "## Text boxes").otherwise("## Embedded images")
-    bodies = df.select("doc_id", rank, part, "n", body.alias("lines"))
-    heads = df.select("doc_id", rank, part, F.lit(0).alias("n"), lines(title, "").alias("lines")).distinct()
-    return heads.unionByName(bodies).select(
-        "doc_id", F.struct("rank", "part_no", "n").alias("at"), F.posexplode("lines").alias("k", "line"))
+    rows = df.select("doc_id", rank, part, "n", body.alias("lines"), lines(title, "").alias("head"))
+    # the first row of a part brings the heading: rows that lie together by document need no shuffle for it
+    first = F.row_number().over(Window.partitionBy("doc_id", "rank", "part_no", "head").orderBy("n")) == 1
+    own = F.struct("n", "lines")
+    both = F.array(F.struct(F.lit(0).cast(df.schema["n"].dataType).alias("n"), F.col("head").alias("lines")), own)
+    parts = rows.withColumn("_first", first).select("doc_id", "rank", "part_no", F.explode(F.when(F.col("_first"), both).otherwise(F.array(own))).alias("x"))
+    return parts.select("doc_id", F.struct("rank", "part_no", F.col("x.n").alias("n")).alias("at"), F.posexplode("x.lines").alias("k", "line"))
