@@ -156,7 +156,10 @@ TITLE = "CASE WHEN title IS NOT NULL THEN title WHEN k % 17 = 0 THEN c_name END"
 SELECT k AS doc_id, bill IS NOT NULL AND ({TITLE}) IS NOT NULL AS ready,
   concat_ws('|', CASE WHEN bill IS NULL THEN 'order_num1' END, CASE WHEN ({TITLE}) IS NULL THEN 'c_title' END) AS missing_fields FROM f"""))
 def _(spark, sf):
-    ready, rejected = orders.gate(orders.extract(corpus.order_texts(spark, sf)))
+    # both sides of the gate are read, so the texts are parsed once into a table of what it looks at
+    asked = F.struct("extracted.order_num1", "extracted.c_title").alias("extracted")
+    extracted = orders.extract(corpus.order_texts(spark, sf)).select("doc_id", asked)
+    ready, rejected = orders.gate(cut_lineage(extracted, "extracted-orders"))
     return ready.select("doc_id", F.lit(True).alias("ready"), F.lit("").alias("missing_fields")).unionByName(
         rejected.select("doc_id", F.lit(False).alias("ready"), F.array_join("missing_fields", "|").alias("missing_fields")))
 

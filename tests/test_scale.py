@@ -7,6 +7,7 @@ from freightdocs.functions import text as t
 from freightdocs.functions import values as v
 from freightdocs.operators import grids, mapping, orders
 from freightdocs.operators import segments as seg
+from freightdocs.plans.registry import QUERIES
 from freightdocs.sources import corpus
 
 
@@ -85,3 +86,11 @@ def test_box_places_are_added_up_without_a_growing_list(spark):
     got = df.select(orders.boxes(F.col("x")).alias("b"))
     assert "concat(" not in plan(got)
     assert [[tuple(b) for b in r.b] for r in got.collect()] == [[("20GP", 7), ("40HQ", 2)], [("20GP", 42)], [], []]
+
+
+def test_both_sides_of_the_gate_read_texts_that_are_parsed_once(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "提单号：A；托运人：T", "r"), (2, "提单号：A", "r"), (3, None, "r")], "doc_id long, content string, roomId string")
+    monkeypatch.setattr(corpus, "order_texts", lambda spark, sf: texts)
+    got = QUERIES["ord_5_readiness_gate"](spark, "")
+    assert "regexp" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [(1, True, ""), (2, False, "c_title"), (3, False, "order_num1|c_title")]
