@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from freightdocs.llm import line_chunks, minhash, packing, quality_rules, secrets
 from freightdocs.llm.common import read_table, shared_dir, tokenizer_path
 
+#: Words in one generation of a worker's cache: the workers stay, with all they hold, for the next steps.
+CACHE = 100_000
+
 
 def counted(docs: DataFrame) -> DataFrame:
     """``n_chars`` after a stage has changed texts."""
@@ -40,7 +43,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their ids and their places in sequences of 4096."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=True)
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=True, cache=CACHE)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("MinHash near-dedup", near_copies), ("secret scan", secret_spans),

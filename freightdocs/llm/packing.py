@@ -117,17 +117,18 @@ def split_word(word: str) -> tuple[str, ...]:
 class Words:
     """Ids of words, as bytes, in a bounded cache of two generations that a Python worker keeps from task to task."""
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, most: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer)
+        self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def of(self, words: set[str]) -> dict[str, bytes]:
         """A table that holds all of ``words``."""
-        if len(self.young) > CACHE:
+        if len(self.young) > self.most:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         parts = {}
@@ -146,26 +147,27 @@ class Words:
 
 
 @lru_cache(maxsize=1)
-def words_of(tokenizer: str) -> Words:
-    return Words(tokenizer)
+def words_of(tokenizer: str, most: int = CACHE) -> Words:
+    return Words(tokenizer, most)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Tokenize and cut: one row per piece with its length, CRC and rank among the pieces of its length in this partition.
 
     A document is its ids and then ``END_ID``; only longer ones are cut. White space never joins two tokens of this
-    tokenizer, so each distinct word is encoded once for as long as it stays in the cache of its worker.
+    tokenizer, so each distinct word is encoded once for as long as it stays in the cache of its worker, of which a
+    generation holds about ``cache`` words: where other steps run in the same workers, a smaller one leaves them memory.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = words_of(tokenizer)
+        known = words_of(tokenizer, cache)
         rank: dict[int, int] = defaultdict(int)
         part, end = TaskContext.get().partitionId(), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows = []
             split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in b["text"]]
-            ids = cache.of(set().union(*split))
+            ids = known.of(set().union(*split))
             for doc, own in zip(b["doc_id"], split, strict=True):
                 data = b"".join(map(ids.__getitem__, own)) + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
@@ -180,13 +182,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
         run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long, ids array<long>")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False,
+         cache: int = CACHE) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` and, with ``keep_ids``, ``ids`` of every piece.
 
     Each row of ``docs`` is a document, also if its id is null or repeated. Null and empty texts are the end id alone. Ties
     between equal lengths go by place in the table. An empty table gives an empty table; other columns are left out.
     """
-    cut = written(pieces(docs, tokenizer, capacity, keep_ids), "pack-pieces")
+    cut = written(pieces(docs, tokenizer, capacity, keep_ids, cache), "pack-pieces")
     counts = written(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "pack-counts")
     # at most one row for each length comes to the driver
     plan = Plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
