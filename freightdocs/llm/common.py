@@ -66,6 +66,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """For a join in which no side may be broadcast, whatever its size is taken for.
+
+    Spark sizes a frame by the bytes of its files and the width of its rows: not by the rows that an ``explode`` makes, nor
+    by what compression saves. A table far over the threshold then goes through the driver.
+    """
+    return df.hint("merge")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that carry whole texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freightdocs.llm.common import least_matches, narrow, shingle_set, small_batches, written
+from freightdocs.llm.common import least_matches, narrow, shingle_set, shuffled, small_batches, written
 from freightdocs.llm.components import components
 
 COORDINATES = 64
@@ -72,7 +72,7 @@ def _postings(reps: DataFrame, least: int) -> DataFrame:
 
     every = reps.select("rep", F.explode(tokens("sig")).alias("token"))
     common = every.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
-    shared = every.join(common, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("keys"))
+    shared = every.join(shuffled(common), "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("keys"))
     shared = shared.filter(F.size("keys") >= least)
     # the keys of one text alone come first in the order and fill the prefix
     prefix = F.slice("keys", 1, F.greatest(F.lit(0), F.size("keys") - F.lit(least - 1)))
@@ -97,8 +97,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int
             out.append(_alike(of(s), of(t), num, den))
         return pd.Series(out)
 
-    with_a = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
-    with_b = with_a.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
+    with_a = pairs.join(shuffled(texts.select(F.col("rep").alias("a"), F.col("text").alias("x"))), "a")
+    with_b = with_a.join(shuffled(texts.select(F.col("rep").alias("b"), F.col("text").alias("y"))), "b")
     return with_b.filter(alike("x", "y")).select("a", "b")
 
 
@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         return pd.Series((p == q).sum(axis=1) >= least)
 
     heads = posts.groupBy("token").agg(F.min("rep").alias("a"))
-    pairs = posts.join(heads, "token").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    pairs = posts.join(shuffled(heads), "token").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     pairs = pairs.join(marks.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a")
     pairs = pairs.join(marks.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
     pairs = written(pairs.filter(close("x", "y")).select("a", "b").distinct(), "minhash-pairs")
@@ -142,16 +142,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         "token", "held", "rep", F.coalesce("component", "rep").alias("part"))
     open_lists = marked.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")) \
         .filter("p <> q").select("token", "n")
-    open_posts = written(marked.join(open_lists, "token"), "minhash-open")
+    open_posts = written(marked.join(shuffled(open_lists), "token"), "minhash-open")
     rest = written(_partners(open_posts, marks, least), "minhash-partners")
     second = _confirmed_in_tiles(rest, texts, size, num, den)
     part = components(first.unionByName(second), "minhash-all")
 
     # from classes back to all rows
-    of_class = reps.select("set_key", "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left") \
+    of_class = reps.select("set_key", "rep").join(shuffled(part.withColumnRenamed("node", "rep")), "rep", "left") \
         .select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    nodes = usable.select("doc_id", "set_key").join(of_class, "set_key").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles").join(nodes, "doc_id", "left")
+    nodes = usable.select("doc_id", "set_key").join(shuffled(of_class), "set_key").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = rows.select("doc_id", "n_shingles").join(shuffled(nodes), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -199,7 +199,7 @@ def _partners(posts: DataFrame, marks: DataFrame, least: int) -> DataFrame:
     rows = rows.select("token", "rep", "part", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     prefix = posts.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("keys")) \
         .select("rep", F.transform("keys", lambda k: k["token"]).alias("keys"))
-    rows = rows.join(marks.join(prefix, "rep"), "rep")
+    rows = rows.join(shuffled(marks.join(shuffled(prefix), "rep")), "rep")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _whole_tiles(batches, TILE):
@@ -234,7 +234,7 @@ def _confirmed_in_tiles(rest: DataFrame, texts: DataFrame, size: int, num: int,
         return text.map(lambda t: shingle_set(t, size).tobytes())
 
     needed = texts.join(rest.select("rep").distinct(), "rep", "left_semi")
-    rows = rest.join(needed.select("rep", codes("text").alias("codes")), "rep")
+    rows = rest.join(shuffled(needed.select("rep", codes("text").alias("codes"))), "rep")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _whole_tiles(batches, TILE):
@@ -278,6 +278,6 @@ def representatives(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """
     kept = near_duplicates(docs, size, num, den).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     rows = docs.select("doc_id", F.struct(F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__row"))
-    one = rows.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("__row").alias("__row"))
+    one = rows.join(shuffled(kept), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("__row").alias("__row"))
     back = [F.col(f"__row.`{c}`") for c in docs.columns]
     return one.select(*back).unionByName(docs.filter("doc_id IS NULL"))
