@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freightdocs.llm.common import mixed, narrow, small_batches, word_codes, written
+from freightdocs.llm.common import mixed, narrow, shuffled, small_batches, word_codes, written
 
 WINDOW = 2
 SPREAD = 4
@@ -107,7 +107,7 @@ def repeated_chunks(docs: DataFrame, cutter: Cutter = line_pairs) -> DataFrame:
     found = written(texts.mapInPandas(cut, "__row_id long, __row_tag long, no int, start int, end int, key binary"), "line-windows")
     place = F.struct("__row_id", "__row_tag", "no", "start", "end")
     again = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    later = found.join(again.select("key", "first"), "key").drop("key").filter(~place.eqNullSafe(F.col("first")) & ~(
+    later = found.join(shuffled(again.select("key", "first")), "key").drop("key").filter(~place.eqNullSafe(F.col("first")) & ~(
         (F.col("__row_id") == F.col("first.__row_id")) & (F.col("__row_tag") == F.col("first.__row_tag"))
         & (F.col("start") < F.col("first.end")))).distinct()
 
@@ -143,11 +143,11 @@ def repeated_chunks(docs: DataFrame, cutter: Cutter = line_pairs) -> DataFrame:
                         rows, size = [], 0
             yield pd.DataFrame(rows, columns=columns)
 
-    bodies = written(texts.join(per_doc, doc).mapInPandas(
+    bodies = written(texts.join(shuffled(per_doc), doc).mapInPandas(
         bytes_of, "__row_id long, __row_tag long, start int, end int, id long, tag long, from int, to int, is_first boolean, body binary"), "line-bodies")
     key = ["id", "tag", "from", "to"]
     first_bodies = bodies.filter("is_first").groupBy(*key).agg(F.min("body").alias("first_body"))
-    return bodies.filter("NOT is_first").join(first_bodies, key).filter("body = first_body").select(*doc, "start", "end").distinct()
+    return bodies.filter("NOT is_first").join(shuffled(first_bodies), key).filter("body = first_body").select(*doc, "start", "end").distinct()
 
 
 def deduplicated(docs: DataFrame, cutter: Cutter = line_pairs) -> DataFrame:
@@ -179,7 +179,7 @@ def deduplicated(docs: DataFrame, cutter: Cutter = line_pairs) -> DataFrame:
             rows.append(("\n".join(lines), n, n - len(lines), len(gone)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "cut_lines", "cut_chunks"])
 
-    joined = _tagged(docs.select(*[F.col(f"`{c}`") for c in keep])).join(repeats, ["__row_id", "__row_tag"], "left")
+    joined = _tagged(docs.select(*[F.col(f"`{c}`") for c in keep])).join(shuffled(repeats), ["__row_id", "__row_tag"], "left")
     out = joined.withColumn("__new", without("text", "__cut"))
     return out.select(*[F.col("__new.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in keep],
                       "__new.n_lines", "__new.cut_lines", "__new.cut_chunks")

@@ -3,7 +3,7 @@
 from fixtures import table
 from pyspark.sql import functions as F
 
-from freightdocs.llm import minhash
+from freightdocs.llm import line_chunks, minhash
 
 
 def plan(df):
@@ -23,3 +23,7 @@ def test_exploded_keys_of_signatures_are_shuffled(spark, tmp_path):
 def test_rows_and_their_components_are_shuffled(spark):
     assert "Broadcast" not in plan(minhash.near_duplicates(table(spark), 3))
     assert "Broadcast" not in plan(minhash.representatives(table(spark), 3))
+
+
+def test_gathered_lines_are_shuffled(spark):
+    assert "Broadcast" not in plan(line_chunks.deduplicated(table(spark)))
