@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from functools import lru_cache
 from math import comb
 
@@ -75,6 +77,18 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Functions that give up what a Python worker keeps from task to task; each tells whether it held anything.
+KEPT: list[Callable[[], bool]] = []
+
+
+def release() -> None:
+    """Gives up what other steps keep in this Python worker: workers stay for all steps, and share an executor's memory."""
+    if any([give_up() for give_up in KEPT]):
+        gc.collect()
+        with suppress(OSError, AttributeError):  # freed memory goes back to the system, where the C library can do that
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that carry whole texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freightdocs.llm.common import mixed, narrow, shuffled, small_batches, word_codes, written
+from freightdocs.llm.common import mixed, narrow, release, shuffled, small_batches, word_codes, written
 
 WINDOW = 2
 SPREAD = 4
@@ -98,6 +98,7 @@ def repeated_chunks(docs: DataFrame, cutter: Cutter = line_pairs) -> DataFrame:
     texts = _tagged(narrow(docs, "doc_id", "text")).select("__row_id", "__row_tag", "text").filter("text IS NOT NULL")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for b in batches:
             yield pd.DataFrame(
                 [(i, t, k, s, e, key) for i, t, text in zip(b["__row_id"], b["__row_tag"], b["text"], strict=True)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freightdocs.llm.common import least_matches, narrow, shingle_set, shuffled, small_batches, written
+from freightdocs.llm.common import least_matches, narrow, release, shingle_set, shuffled, small_batches, written
 from freightdocs.llm.components import components
 
 COORDINATES = 64
@@ -50,6 +50,7 @@ def shingled(docs: DataFrame, size: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         factors = _factors()
         for b in batches:
             sets = [shingle_set(t, size) for t in b["text"]]

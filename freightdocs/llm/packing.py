@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freightdocs.llm.common import narrow, small_batches, written
+from freightdocs.llm.common import KEPT, narrow, small_batches, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -151,6 +151,15 @@ def words_of(tokenizer: str, most: int = CACHE) -> Words:
     return Words(tokenizer, most)
 
 
+def give_up_words() -> bool:
+    held = words_of.cache_info().currsize > 0
+    words_of.cache_clear()
+    return held
+
+
+KEPT.append(give_up_words)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Tokenize and cut: one row per piece with its length, CRC and rank among the pieces of its length in this partition.
 

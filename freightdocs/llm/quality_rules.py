@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freightdocs.llm.common import ascii_words, narrow, small_batches, window_codes, word_codes
+from freightdocs.llm.common import ascii_words, narrow, release, small_batches, window_codes, word_codes
 
 BUCKETS = 16384
 #: Mean log ratio for one n-gram under which a text is rejected.
@@ -36,6 +36,7 @@ def ngram_buckets(codes: np.ndarray) -> np.ndarray:
 def bucket_counts(docs: DataFrame) -> np.ndarray:
     """N-gram counts of all texts. A task sends at most ``BUCKETS`` rows, and so does the grouped sum."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
             found = [ngram_buckets(word_codes(ascii_words(t, lower=False))) for t in b["text"]]
@@ -95,6 +96,7 @@ def measures(text: Column, ratios: np.ndarray, min_score: float = MIN_SCORE) ->
 
     @F.pandas_udf(MEASURES)
     def run(texts: pd.Series) -> pd.DataFrame:
+        release()
         return pd.DataFrame([measure(t, ratios, min_score) for t in texts], columns=names)
 
     return run(text)
